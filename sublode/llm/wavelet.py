@@ -27,39 +27,71 @@ END_ID = 2
 BITS = 16
 SHARD_IDS = 1_000_000
 MAGIC = b"WVM1"
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 300_000
 
 
 class CachedEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
-    The tokenizer file drops white space before its merges and its normaliser never joins characters across an ASCII
-    white-space character, so the ids of a text are the ids of its white-space-separated words in order.
+    The tokenizer file lowers case, drops white space before its merges, and its normaliser never joins characters
+    across an ASCII white-space character, so the ids of a text are the ids of its white-space-separated words in
+    order. A full stop or comma alone after an ASCII letter at a word's end is always a piece of its own. When the
+    younger generation of the cache is full it becomes the older one, and words still in use move on from there.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.model, self.end_id, self.cache = Tokenizer.from_file(path), end_id, {}
+        self.model, self.end_id, self.cache, self.old = Tokenizer.from_file(path), end_id, {}, {}
+
+    def _fill(self, missing: list[bytes]) -> None:
+        """Put the ids of the missing words into the younger generation."""
+        cache, old = self.cache, self.old
+        new, split = {}, []
+        for w in missing:
+            got = old.get(w)
+            if got is not None:
+                cache[w] = got
+            elif w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
+                split.append(w)
+                new[w[:-1].lower()] = new[w[-1:]] = None
+            else:
+                new[w.lower()] = None
+        ask = [w for w in new if w not in cache]
+        for i in range(0, len(ask), 10_000):
+            part = ask[i : i + 10_000]
+            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                cache[w] = np.array(e.ids, np.uint16).tobytes()
+        for w in split:
+            cache[w] = cache[w[:-1].lower()] + cache[w[-1:]]
+        for w in missing:
+            if w not in cache:
+                cache[w] = cache[w.lower()]
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each."""
         words = [x.split() for x in texts]
+        if len(self.cache) >= CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+        missing = set().union(*words).difference(self.cache)
+        self._fill(list(missing))
         cache = self.cache
-        missing = list({w for ws in words for w in ws if w not in cache})
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = list({w for ws in words for w in ws})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, np.uint16).tobytes()
         end = np.array([self.end_id], np.uint16).tobytes()
         data = [b"".join([cache[w] for w in ws]) + end for ws in words]
         return np.frombuffer(b"".join(data), np.uint16), np.array([len(x) // 2 for x in data], np.int64)
 
 
+_workers: dict[str, CachedEncoder] = {}
+
+
+def worker_encoder(path: str) -> CachedEncoder:
+    """The encoder that a Python worker keeps between its tasks."""
+    if path not in _workers:
+        _workers[path] = CachedEncoder(path)
+    return _workers[path]
+
+
 def build_planes(ids: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     """The bit planes of a wavelet matrix, highest bit first."""
     planes, now = [], ids
@@ -186,7 +218,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SH
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, shard = CachedEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
         names, lengths, ids, size, done = [], [], [], 0, []
 
         def flush():
