@@ -92,8 +92,15 @@ def op9_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 200-byte strings that occur elsewhere too."""
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
+
+
 def queries() -> dict:
-    found = (op1_simhash, op2_toxicity, op3_byte_bpe, op4_pii, op5_warc, op6_lm_scoring, op7_quality_rules, op8_decontamination, op9_wavelet_output)
+    found = (op1_simhash, op2_toxicity, op3_byte_bpe, op4_pii, op5_warc, op6_lm_scoring, op7_quality_rules, op8_decontamination, op9_wavelet_output, op10_repeated_substrings)
     return {f.__name__: f for f in found}
 
 
