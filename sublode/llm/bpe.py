@@ -37,10 +37,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges of a short byte string, lowest rank first, leftmost first among equals."""
+def merge(data: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[bytes]:
+    """The merges of a short byte string, lowest rank first, leftmost first among equals; not the one that makes all of it unless ``whole``."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
+    while len(parts) > (1 if whole else 2):
         best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
         if best == 1 << 60:
             break
@@ -67,29 +67,58 @@ class Transducer:
                     self.inner.append(0)
                 node = self.child[key]
             self.token_at[node] = r
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self._empty()
 
     def _empty(self) -> None:
         start = (-1, (((), 0),))
         self.states, self.number, self.moves, self.ends = [start], {start: 0}, {}, {}
 
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge is the last step of a token's own encoding; the token twice if it has none."""
+        found = self.halves.get(token)
+        if found is None:
+            data = self.bytes_of[token]
+            parts = merge(data, self.ranks, False) if len(data) > 1 else [data]
+            found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (token, token)
+            self.halves[token] = found
+        return found
+
+    def reachable(self, token: int) -> bool:
+        """Whether a token is its own encoding."""
+        return len(self.bytes_of[token]) == 1 or self.split(token) != (token, token)
+
     def follows(self, left: int, right: int) -> bool:
-        """Whether ``right`` can stand after ``left`` (-1: at the beginning) in an encoding."""
-        key = (left, right)
+        """Whether ``right`` can stand after ``left`` (-1: at the beginning) in an encoding.
+
+        The merges inside both tokens are undone from the latest on; the pair fails if, at any time, the two inner
+        neighbours would have merged with each other before the merge just undone.
+        """
+        key = left << 20 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            b = self.bytes_of[right]
-            if left < 0:
-                found = merge(b, self.ranks) == [b]
-            else:
-                a = self.bytes_of[left]
-                found = self.follows(-1, right) and merge(a + b, self.ranks) == [a, b]
-            self.pairs[key] = found
+            found = self.pairs[key] = self.reachable(right) and (left < 0 or self._apart(left, right))
         return found
 
+    def _apart(self, a: int, b: int) -> bool:
+        bytes_of, ranks = self.bytes_of, self.ranks
+        before = 1 << 60  # a merge across the border counts if its rank is lower
+        while True:
+            across = ranks.get(bytes_of[a] + bytes_of[b])
+            if across is not None and across < before:
+                return False
+            one_a, one_b = len(bytes_of[a]) == 1, len(bytes_of[b]) == 1
+            if one_a and one_b:
+                return True
+            # merges of equal rank go from left to right: a, across, b
+            if one_b or (not one_a and a > b):
+                before, a = a, self.split(a)[1]
+            else:
+                before, b = b + 1, self.split(b)[0]
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         last, live = self.states[state]
         now, whole = [], None
@@ -153,20 +182,20 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(load_ranks(path))
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        cache, out = self.cache, []
-        for piece in self.split(text):
-            got = cache.get(piece)
+        """The packed ids of a text; frequent pieces move from the older to the younger generation of the cache."""
+        if len(self.cache) >= MAX_PIECES:
+            self.old, self.cache = self.cache, {}
+        pieces, cache = self.split(text), self.cache
+        for piece in set(pieces).difference(cache):
+            got = self.old.get(piece)
             if got is None:
                 ids = self.machine.encode(piece.encode())
                 got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    if len(cache) >= MAX_PIECES:
-                        cache.clear()
-                    cache[piece] = got
-            out.append(got)
-        return b"".join(out)
+            cache[piece] = got
+        return b"".join([cache[p] for p in pieces])
 
 
 class Utf8Stream:
@@ -230,6 +259,24 @@ def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_rows(docs.select("doc_id", text_bytes().alias("data")), rows, "doc_id long, ids binary, decoded string")
 
 
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (packed) of every document, and the SHA-256 of the text decoded from them."""
+
+    def rows(c: dict) -> dict:
+        e, n, all_ids, b = worker_encoder(path, pattern), [], [], []
+        for data in c["data"]:
+            ids, text = e.encode(data.decode("utf-8", "replace")), hashlib.sha256()
+            for part in decode(ids, e.machine.bytes_of):
+                text.update(part.encode())
+            n.append(len(ids) // 4)
+            all_ids.append(ids)
+            b.append(text.hexdigest())
+        return {"doc_id": c["doc_id"], "n_tokens": n, "ids": all_ids, "decoded_sha256": b}
+
+    ship(docs.sparkSession)
+    return map_rows(docs.select("doc_id", text_bytes().alias("data")), rows, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids and decoded texts of ``roundtrip`` by their digests, made in one pass."""
 

@@ -99,8 +99,15 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    found = (op1_simhash, op2_toxicity, op3_byte_bpe, op4_pii, op5_warc, op6_lm_scoring, op7_quality_rules, op8_decontamination, op9_wavelet_output, op10_repeated_substrings)
+    found = (op1_simhash, op2_toxicity, op3_byte_bpe, op4_pii, op5_warc, op6_lm_scoring, op7_quality_rules, op8_decontamination, op9_wavelet_output, op10_repeated_substrings, pipeline)
     return {f.__name__: f for f in found}
 
 

@@ -13,8 +13,11 @@ Defined edge cases: a null text is empty and gives the end id alone; a null ``do
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,40 @@ BITS = 16
 SHARD_IDS = 1_000_000
 MAGIC = b"WVM1"
 #: Distinct words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+
+#: Words of these letters alone are one piece that no normalisation changes: the library's merges can have them at once.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level alphabets show each byte as a character: printable ones as themselves, the rest from 256 on.
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+class _Words(dict):
+    """The ids of words, packed; a missing word comes from the older generation or from the library."""
+
+    def __init__(self, model, old: dict):
+        super().__init__()
+        self.model, self.merges, self.old = model, model.model.tokenize, old
+
+    def __missing__(self, w: bytes) -> bytes:
+        got = self.old.get(w)
+        if got is None:
+            low = w.lower()
+            if low != w:
+                got = self[low]
+            elif w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
+                got = self[w[:-1]] + self[w[-1:]]
+            else:
+                text = w.decode("utf-8", "replace")
+                if _PLAIN(text.lower()):
+                    ids = [t.id for t in self.merges(text.lower().encode().decode("latin-1").translate(_VISIBLE))]
+                else:
+                    ids = self.model.encode(text, add_special_tokens=False).ids
+                got = array("H", ids).tobytes()
+        self[w] = got
+        return got
 
 
 class CachedEncoder:
@@ -41,44 +77,19 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.end_id, self.cache, self.old = Tokenizer.from_file(path), end_id, {}, {}
-
-    def _fill(self, missing: list[bytes]) -> None:
-        """Put the ids of the missing words into the younger generation."""
-        cache, old = self.cache, self.old
-        new, split = {}, []
-        for w in missing:
-            got = old.get(w)
-            if got is not None:
-                cache[w] = got
-            elif w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
-                split.append(w)
-                new[w[:-1].lower()] = new[w[-1:]] = None
-            else:
-                new[w.lower()] = None
-        ask = [w for w in new if w not in cache]
-        for i in range(0, len(ask), 10_000):
-            part = ask[i : i + 10_000]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, np.uint16).tobytes()
-        for w in split:
-            cache[w] = cache[w[:-1].lower()] + cache[w[-1:]]
-        for w in missing:
-            if w not in cache:
-                cache[w] = cache[w.lower()]
+        self.model, self.end_id = Tokenizer.from_file(path), end_id
+        self.cache = _Words(self.model, {})
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each."""
-        words = [x.split() for x in texts]
         if len(self.cache) >= CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
-        missing = set().union(*words).difference(self.cache)
-        self._fill(list(missing))
-        cache = self.cache
-        end = np.array([self.end_id], np.uint16).tobytes()
-        data = [b"".join([cache[w] for w in ws]) + end for ws in words]
+            self.cache.old = {}
+            self.cache = _Words(self.model, self.cache)
+        get, end = self.cache.__getitem__, array("H", [self.end_id]).tobytes()
+        data = [b"".join(map(get, x.split())) + end for x in texts]
         return np.frombuffer(b"".join(data), np.uint16), np.array([len(x) // 2 for x in data], np.int64)
 
 
