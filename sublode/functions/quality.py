@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +116,6 @@ class ChiSquaredQF(SimplePositivesQF):
 
 def _p_value(chi2: Column) -> Column:
     """Upper tail with one degree of freedom, erfc(sqrt(x / 2)), which neither Spark nor its SQL has."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
         return x.map(lambda v: math.erfc(math.sqrt(v / 2)))

@@ -88,22 +88,58 @@ def cumulative(histogram: DataFrame) -> DataFrame:
     return dealt.join(first.select("part", "first"), "part").select("v", "rows", (F.col("first") + F.sum("rows").over(inner)).alias("upto"))
 
 
-def equal_frequency_discretization(df: DataFrame, attribute: str, nbins: int = 5) -> list:
-    """Cut points: the value at each of nbins - 1 equally spaced ranks, or the next larger one if it is a cut already."""
-    table = stable(cumulative(value_histogram(df, attribute)))
+#: Histograms of at most so many values are cut on the driver; longer ones by range-partitioned plans, with equal results.
+DRIVER_VALUES = 10_000
+
+
+def _ranks(total: int, nbins: int) -> list[int]:
+    return [i * total // nbins for i in range(1, nbins)]
+
+
+def _cut(values: list[tuple], nbins: int) -> list:
+    """Cut points of a sorted list of (value, rows)."""
+    cuts, k, upto, total = [], 0, 0, sum(n for _, n in values)
+    for rank in _ranks(total, nbins):
+        while k < len(values) and upto + values[k][1] <= rank:
+            upto += values[k][1]
+            k += 1
+        at = k
+        while at < len(values) and cuts and values[at][0] <= cuts[-1]:
+            at += 1
+        if at == len(values):
+            break
+        cuts.append(values[at][0])
+    return cuts
+
+
+def distributed_cuts(histogram: DataFrame, nbins: int) -> list:
+    """Cut points of a histogram of any length: one pass for all ranks, and one more for each rank that falls on a cut already taken."""
+    table = cumulative(histogram).persist()
     total = table.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    first = table.agg(*(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"c{i}") for i, r in enumerate(_ranks(total, nbins)))).first()
     cuts: list = []
-    for i in range(1, nbins):
-        ok = F.col("upto") > i * total // nbins
-        if cuts:
-            ok = ok & (F.col("v") > cuts[-1])
-        v = table.filter(ok).agg(F.min("v").alias("v")).first()["v"]
+    for v in first:
+        if cuts and v is not None and v <= cuts[-1]:
+            v = table.filter(F.col("v") > cuts[-1]).agg(F.min("v").alias("v")).first()["v"]
         if v is None:
             break
         cuts.append(v)
+    table.unpersist()
     return cuts
 
 
+def _few(histogram: DataFrame) -> list[tuple] | None:
+    rows = histogram.limit(DRIVER_VALUES + 1).collect()
+    return sorted((r["v"], r["rows"]) for r in rows) if len(rows) <= DRIVER_VALUES else None
+
+
+def equal_frequency_discretization(df: DataFrame, attribute: str, nbins: int = 5) -> list:
+    """Cut points: the value at each of nbins - 1 equally spaced ranks, or the next larger one if it is a cut already."""
+    histogram = value_histogram(df, attribute)
+    values = _few(histogram)
+    return _cut(values, nbins) if values is not None else distributed_cuts(histogram, nbins)
+
+
 def create_numeric_selectors_for_attribute(df: DataFrame, attribute: str, nbins: int = 5, intervals_only: bool = True) -> list[Selector]:
     """A null selector if values are missing; then equalities of at most nbins distinct values, or bins by the cut points."""
     kind = df.schema[attribute].dataType
@@ -112,10 +148,11 @@ def create_numeric_selectors_for_attribute(df: DataFrame, attribute: str, nbins:
     out: list[Selector] = []
     if not df.filter(missing).isEmpty():
         out.append(EqualitySelector(attribute, math.nan))
-    few = [r["v"] for r in value_histogram(df, attribute).select("v").limit(nbins + 1).collect()]
-    if len(few) <= nbins:
-        return out + [EqualitySelector(attribute, x) for x in sorted(few)]
-    cuts = equal_frequency_discretization(df, attribute, nbins)
+    histogram = value_histogram(df, attribute)
+    values = _few(histogram)
+    if values is not None and len(values) <= nbins:
+        return out + [EqualitySelector(attribute, x) for x, _ in values]
+    cuts = _cut(values, nbins) if values is not None else distributed_cuts(histogram, nbins)
     if intervals_only:
         edges = [-math.inf, *cuts, math.inf]
         return out + [IntervalSelector(attribute, a, b) for a, b in zip(edges, edges[1:])]
