@@ -3,10 +3,10 @@
 Merges are compiled lazily. A prefix of a text has exactly one encoding, and a token sequence is an encoding exactly
 when every two neighbours are (the merges of their joined bytes give the pair back) and the first token is its own
 encoding. So the transducer reads a byte at a time and follows every start where a token may still be growing: a
-hypothesis is the tokens up to that start, with the place in the trie of tokens. Tokens that all live hypotheses share
-are emitted at once: the lookahead is bounded by the longest token. The set of hypotheses is determinised into a state
-the first time it occurs, and a transition is computed once; when the tables reach their limit they are emptied and
-grow again.
+hypothesis is the token before that start, with the place in the trie of tokens. The set of hypotheses is determinised
+into a state the first time it occurs, and a transition is computed once; its output is the last token of the prefix
+read so far. Where all live starts lead back to one place, the tokens before that place are certain and are emitted:
+the lookahead is bounded by the longest token. When the tables reach their limit they are emptied and grow again.
 
 Text is first split by the tokenizer's pattern; a worker keeps the ids of frequent pieces. Decoding joins the tokens'
 bytes chunk by chunk and turns them into text by an incremental UTF-8 state machine that holds back unfinished
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+from array import array
 
 from pyspark.sql import DataFrame
 
@@ -29,7 +29,11 @@ from .common import map_rows, ship, text_bytes
 #: Limits of a worker's tables: transitions, neighbour checks, pieces.
 MAX_TRANSITIONS = 500_000
 MAX_PAIRS = 500_000
-MAX_PIECES = 200_000
+MAX_PIECES = 300_000
+#: Bits of a token in a transition's number, and bytes after which certain tokens of a long piece are emitted.
+TOKEN_BITS = 20
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
+STREAM = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +59,8 @@ class Transducer:
         self.ranks, self.max_transitions, self.max_pairs = ranks, max_transitions, max_pairs
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token_at, self.inner = [-1], bytearray(1)
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.token_at, self.inner, self.depth = [-1], bytearray(1), [0]
         for t, r in ranks.items():
             node = 0
             for b in t:
@@ -65,6 +70,7 @@ class Transducer:
                     self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(0)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = r
         self.pairs: dict[int, bool] = {}
@@ -72,8 +78,8 @@ class Transducer:
         self._empty()
 
     def _empty(self) -> None:
-        start = (-1, (((), 0),))
-        self.states, self.number, self.moves, self.ends = [start], {start: 0}, {}, {}
+        start = ((-1, 0),)
+        self.states, self.number, self.moves = [start], {start: 0}, {}
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge is the last step of a token's own encoding; the token twice if it has none."""
@@ -119,58 +125,73 @@ class Transducer:
             else:
                 before, b = b + 1, self.split(b)[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, live = self.states[state]
-        now, whole = [], None
-        for tokens, node in live:
-            node = self.child.get(node << 8 | byte)
+    def _state(self, live: tuple) -> int:
+        k = self.number.get(live)
+        if k is None:
+            k = self.number[live] = len(self.states)
+            self.states.append(live)
+        return k
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after a byte, and the last token of the prefix in the low bits."""
+        now, whole, child = [], -1, self.child
+        for left, node in self.states[state]:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
             t = self.token_at[node]
-            if t >= 0 and whole is None and self.follows(tokens[-1] if tokens else last, t):
-                whole = tokens + (t,)
+            if t >= 0 and whole < 0 and self.follows(left, t):
+                whole = t
             if self.inner[node]:
-                now.append((tokens, node))
-        if whole is None:
+                now.append((left, node))
+        if whole < 0:
             raise ValueError(f"no token for byte {byte}")
         now.append((whole, 0))
-        n, sure = 0, min((x[0] for x in now), key=len)
-        while n < len(sure) and all(x[0][n] == sure[n] for x in now):
-            n += 1
-        out = whole[:n]
-        to = (out[-1] if out else last, tuple((tokens[n:], node) for tokens, node in now))
-        k = self.number.get(to)
-        if k is None:
-            k = self.number[to] = len(self.states)
-            self.states.append(to)
-        found = self.moves[state << 8 | byte] = (k, out)
+        found = self.moves[state << 8 | byte] = self._state(tuple(now)) << TOKEN_BITS | whole
         return found
 
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The tokens of the first ``end`` bytes, from the last token of every prefix."""
+        out, size = [], self.size
+        while end:
+            t = last[end - 1]
+            out.append(t)
+            end -= size[t]
+        out.reverse()
+        return out
+
+    def _certain(self, state: int, last: list[int]) -> int:
+        """The latest place that every live start leads back to."""
+        heads = {len(last) - self.depth[node] for _, node in self.states[state]}
+        while len(heads) > 1:
+            m = max(heads)
+            heads.remove(m)
+            heads.add(m - self.size[last[m - 1]])
+        return heads.pop()
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece of text."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) >= self.max_transitions:
-            self._empty()
-        state, out, moves = 0, [], self.moves
-        for i, b in enumerate(piece):
+        out: list[int] = []
+        last: list[int] = []
+        state, moves = 0, self.moves
+        for b in piece:
             step = moves.get(state << 8 | b)
             if step is None:
-                if len(moves) >= self.max_transitions:  # a very long piece: keep its state alone
+                if len(moves) >= self.max_transitions:
                     here = self.states[state]
                     self._empty()
-                    moves = self.moves
-                    state = self.number.setdefault(here, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(here)
+                    moves, state = self.moves, self._state(here)
                 step = self._move(state, b)
-            state, done = step
-            if done:
-                out += done
-        if piece:
-            out += self.states[state][1][-1][0]
-        return out
+            state = step >> TOKEN_BITS
+            last.append(step & TOKEN_MASK)
+            if len(last) >= STREAM:
+                sure = self._certain(state, last)
+                out += self._back(last, sure)
+                del last[:sure]
+        return out + self._back(last, len(last)) if out else self._back(last, len(last))
 
 
 class Encoder:
@@ -181,21 +202,29 @@ class Encoder:
 
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(load_ranks(path))
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = _Pieces(self.machine, {})
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text; frequent pieces move from the older to the younger generation of the cache."""
         if len(self.cache) >= MAX_PIECES:
-            self.old, self.cache = self.cache, {}
-        pieces, cache = self.split(text), self.cache
-        for piece in set(pieces).difference(cache):
-            got = self.old.get(piece)
-            if got is None:
-                ids = self.machine.encode(piece.encode())
-                got = struct.pack(f"<{len(ids)}I", *ids)
-            cache[piece] = got
-        return b"".join([cache[p] for p in pieces])
+            self.cache.old = {}
+            self.cache = _Pieces(self.machine, self.cache)
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
+
+
+class _Pieces(dict):
+    """The packed ids of pieces; a missing one comes from the older generation or from the transducer."""
+
+    def __init__(self, machine: Transducer, old: dict):
+        super().__init__()
+        self.machine, self.old = machine, old
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = array("I", self.machine.encode(piece.encode())).tobytes()
+        self[piece] = got
+        return got
 
 
 class Utf8Stream:
