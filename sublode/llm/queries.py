@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .sql import SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +113,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -306,7 +306,7 @@ def test_quality(docs, texts, empty):
 
 def test_depleted(spark):
     boiler = "this line is on every page of the site forever"
-    rows = [(i, f"{boiler}\n{boiler}!\nown words {i}", "h") for i in range(30)] + [(99, boiler + "\n" + " ".join(f"w{k}" for k in range(40)), "h")]
+    rows = [(i, f"{boiler}\nanother footer that nobody reads but all pages show\nown words {i}", "h") for i in range(30)] + [(99, boiler + "\n" + " ".join(f"w{k}" for k in range(40)), "h")]
     got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10, 0.1))
     assert not got[0]["kept"] and not got[0]["base_failed"] and got[99]["kept"] and got[99]["removed_words"] == 10
 
