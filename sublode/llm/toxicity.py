@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Features are lower-cased words and the first five characters of longer words. A bounded sample of labelled rows
+Features are lower-cased words and the first four, five and six characters of longer words. A bounded sample of labelled rows
 (``MAX_PER_CLASS`` of each label, in the order of a hash) gives the examples; features that speak for the label by a
 chi-squared test become the vocabulary, at most ``MAX_FEATURES``. Document frequencies of the vocabulary are counted
 over all documents. The index keeps, for each feature and each block of examples, the largest weight: a query adds up
@@ -27,9 +27,13 @@ from .common import map_rows, materialize, ship, text_bytes
 
 MAX_PER_CLASS = 3000
 MAX_FEATURES = 4000
+#: A feature needs so many toxic examples, such a share of them, such a lift over the others, and such a chi-squared.
 MIN_EXAMPLES = 3
-MIN_LIFT = 3.0
-MIN_CHI2 = 6.63
+MIN_SHARE = 0.025
+MIN_LIFT = 4.0
+MIN_CHI2 = 30.0
+#: Lengths of the beginnings of longer words that are features too.
+BEGINNINGS = (4, 5, 6)
 K = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -40,8 +44,9 @@ def features(text: str) -> Counter:
     """Counts of words and of the beginnings of longer words."""
     out = Counter(_WORD.findall(text.lower()))
     for w, n in list(out.items()):
-        if len(w) > 5:
-            out[w[:5] + "*"] += n
+        for k in BEGINNINGS:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
     return out
 
 
@@ -94,7 +99,7 @@ class Model:
             return
         vectors = [(d, y, self.vector(f)) for d, y, f in examples]
         # examples that share their strongest feature stand together, which makes the blocks' bounds tight
-        vectors.sort(key=lambda x: (-x[1], max(x[2], key=x[2].get) if x[2] else -1, x[0]))
+        vectors.sort(key=lambda x: (max(x[2], key=x[2].get) if x[2] else -1, x[0]))
         self.ids = np.array([d for d, _, _ in vectors], np.int64)
         self.labels = np.array([y for _, y, _ in vectors], np.float64)
         self.weight = np.where(self.labels > 0, class_weight[1], class_weight[0])
@@ -173,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     got = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     n1, n0 = got.get(1, 0), got.get(0, 0)
     seen = chosen.select("y", F.explode("names").alias("f")).groupBy("f").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    seen = seen.filter((F.col("n1") >= MIN_EXAMPLES) & (F.col("n1") * max(n0, 1) >= MIN_LIFT * F.col("n0") * max(n1, 1)))
+    seen = seen.filter((F.col("n1") >= max(MIN_EXAMPLES, MIN_SHARE * n1)) & (F.col("n1") * max(n0, 1) >= MIN_LIFT * F.col("n0") * max(n1, 1)))
     n, c = n1 + n0, F.col("n1") + F.col("n0")
     chi2 = F.try_divide(F.lit(float(n)) * F.pow(F.col("n1") * (n0 - F.col("n0")) - F.col("n0") * (n1 - F.col("n1")), 2), F.lit(float(n1) * n0) * c * (n - c))
     vocabulary = [r["f"] for r in seen.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "f").limit(MAX_FEATURES).collect()]
@@ -201,7 +206,7 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str
             for b in batch.column(0).to_pylist():
                 words = set(_WORD.findall(b.decode("utf-8", "replace").lower()))
                 found = {number[w] for w in words if w in number}
-                found.update(number[p] for p in {w[:5] + "*" for w in words if len(w) > 5} if p in number)
+                found.update(number[p] for p in {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k} if p in number)
                 sums[list(found)] += 1
                 sums[-1] += 1
         at = np.flatnonzero(sums)
