@@ -54,7 +54,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads, and let Spark delete the shuffle files that led to them."""
+    for t in tables:
+        drop_path(t.sparkSession, t._stored_path)
+    release(tables[0].sparkSession)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

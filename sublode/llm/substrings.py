@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, release, ship, text_bytes
+from .common import drop_tables, materialize, ship, text_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -142,14 +142,16 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 
 def _split(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Covered ranges (th, nb, a, b), and one row for each name of a class with several names (with ``known``: covered).
+    """Covered ranges (th, nb, a, b), and the ranges still open, by text: one for each name of a class with several names.
 
-    Ranges of one name in different places cover each other. A class is what shares ``key``.
+    Ranges of one name in different places cover each other. A class is what shares ``key``. ``named`` is used up.
     """
     groups = materialize(named.groupBy("key", "full").agg(F.count("*").alias("c"), F.min(F.struct("th", "nb", "x", "a", "b")).alias("rep")), "names")
-    covered = named.join(groups.filter("c > 1").select("key", "full"), ["key", "full"]).select("th", "nb", "a", "b")
+    covered = materialize(named.join(groups.filter("c > 1").select("key", "full"), ["key", "full"]).select("th", "nb", "a", "b").distinct(), "covered")
     many = groups.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    return covered, groups.join(many, "key").select("key", "rep.*", (F.col("c") > 1).alias("known"))
+    open_ = materialize(_by_text(groups.join(many, "key").select("key", "rep.*")), "open")
+    drop_tables(named, groups)
+    return covered, open_
 
 
 def _cut(ranges: DataFrame, fine: bool) -> DataFrame:
@@ -242,24 +244,19 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     ship(spark)
     dup = materialize(sampled(docs).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "first-names")
     named = materialize(sampled(docs).join(dup, "key"), "named")
-    release(spark)
-    covered, open_ = _split(named)
-    covered = materialize(covered.distinct(), "covered")
-    ranges = materialize(_by_text(open_), "open")
-    release(spark)
-    # the texts meet what is known of them once; those with open ranges are few
-    known = materialize(_runs(covered), "cover")
-    copies = materialize(_keys(docs).groupBy("th", "nb").agg(F.count("*").alias("c")).filter("c > 1").select("th", "nb", F.lit(True).alias("whole")), "copies")
-    facts = known.join(copies, ["th", "nb"], "full").join(ranges, ["th", "nb"], "full")
-    met = _keys(docs).join(materialize(facts, "facts"), ["th", "nb"], "left")
-    texts = materialize(met.select("th", "nb", "data", "ranges").filter("ranges IS NOT NULL").dropDuplicates(["th", "nb"]), "open-texts")
-    more, open_ = _split(materialize(_cut(texts, False), "ranges"))
-    more = materialize(more, "more")
-    rest = texts.drop("ranges").join(_by_text(open_), ["th", "nb"])
-    single = materialize(_cut(rest, True), "windows")
+    drop_tables(dup)
+    first, ranges = _split(named)
+    texts = _keys(docs).join(ranges, ["th", "nb"]).select("th", "nb", "data", "ranges").dropDuplicates(["th", "nb"])
+    texts = materialize(texts, "open-texts")
+    drop_tables(ranges)
+    second, ranges = _split(materialize(_cut(texts, False), "ranges"))
+    single = materialize(_cut(texts.drop("ranges").join(ranges, ["th", "nb"]), True), "windows")
+    drop_tables(texts, ranges)
     equal = single.groupBy("key", "full").agg(F.count("*").alias("c")).filter("c > 1").select("key", "full")
-    last = materialize(single.join(equal, ["key", "full"]).select("th", "nb", "a", "b"), "last")
-    release(spark)
-    cover = materialize(_runs(covered.unionByName(more).unionByName(last)), "cover")
+    third = single.join(equal, ["key", "full"]).select("th", "nb", "a", "b")
+    cover = materialize(_runs(first.unionByName(second).unionByName(third)), "cover")
+    drop_tables(single, first, second)
+    copies = materialize(_keys(docs).groupBy("th", "nb").agg(F.count("*").alias("c")).filter("c > 1").select("th", "nb", F.lit(True).alias("whole")), "copies")
     facts = materialize(cover.join(copies, ["th", "nb"], "full"), "facts")
+    drop_tables(cover, copies)
     return _finish(_keys(docs).join(facts, ["th", "nb"], "left"), keep)
