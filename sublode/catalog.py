@@ -283,19 +283,18 @@ def qf_chi2_p(spark, d):
     return cells(line_task(spark, d, S.ChiSquaredQF(stat="p"))).select("subgroup", "n", "p", F.round("quality", 9).alias("quality"))
 
 
-def _order_cells(qf, name, sums, columns, spark_columns):
+def _order_cells(qf, name, sums, columns, shown, digits):
     @register(name, f"{sql_orders(1, sums, True)} SELECT {KEY} AS subgroup, n, {columns} FROM cells, tot")
     def run(spark, d):
-        return cells(order_task(spark, d, qf)).select("subgroup", "n", *spark_columns)
+        return cells(order_task(spark, d, qf)).select("subgroup", "n", F.round(shown, digits).alias(shown))
 
 
-_Q6 = F.round("quality", 2).alias("quality")
-_order_cells(S.StandardQFNumeric(1.0), "qf_numeric_mean", "count(*) AS n, avg(t) AS m", "round(n * (m - bm), 2) AS quality", [_Q6])
-_order_cells(S.StandardQFNumeric(1.0, centroid="median"), "qf_numeric_median", "count(*) AS n, median(t) AS m", "round(n * (m - bmed), 2) AS quality", [_Q6])
-_order_cells(S.StandardQFNumericTscore(), "qf_tscore", "count(*) AS n, avg(t) AS m, stddev_pop(t) AS s", "round(sqrt(n) * (m - bm) / s, 6) AS quality", [F.round("quality", 6).alias("quality")])
+_order_cells(S.StandardQFNumeric(1.0), "qf_numeric_mean", "count(*) AS n, avg(t) AS m", "round(n * (m - bm), 2) AS quality", "quality", 2)
+_order_cells(S.StandardQFNumeric(1.0, centroid="median"), "qf_numeric_median", "count(*) AS n, median(t) AS m", "round(n * (m - bmed), 2) AS quality", "quality", 2)
+_order_cells(S.StandardQFNumericTscore(), "qf_tscore", "count(*) AS n, avg(t) AS m, stddev_pop(t) AS s", "round(sqrt(n) * (m - bm) / s, 6) AS quality", "quality", 6)
 _over = "(SELECT avg(t) FROM base)"
-_order_cells(S.StandardQFNumeric(1.0), "oe_sum", f"count(*) AS n, sum(CASE WHEN t > {_over} THEN t - {_over} ELSE 0 END) AS e", "round(e, 2) AS estimate", [F.round("estimate", 2).alias("estimate")])
-_order_cells(S.StandardQFNumeric(1.0, "max"), "oe_max", f"count(*) AS n, count(*) FILTER (WHERE t > {_over}) * (max(t) - {_over}) AS e", "round(e, 2) AS estimate", [F.round("estimate", 2).alias("estimate")])
+_order_cells(S.StandardQFNumeric(1.0), "oe_sum", f"count(*) AS n, sum(CASE WHEN t > {_over} THEN t - {_over} ELSE 0 END) AS e", "round(e, 2) AS estimate", "estimate", 2)
+_order_cells(S.StandardQFNumeric(1.0, "max"), "oe_max", f"count(*) AS n, count(*) FILTER (WHERE t > {_over}) * (max(t) - {_over}) AS e", "round(e, 2) AS estimate", "estimate", 2)
 
 
 @register("oe_order", """WITH o AS (SELECT 'o_orderstatus==''' || o_orderstatus || '''' AS g, o_totalprice AS t FROM orders), m AS (SELECT avg(t) AS bm FROM o), r AS (SELECT g, row_number() OVER w AS k, sum(t) OVER (PARTITION BY g ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS s FROM o WINDOW w AS (PARTITION BY g ORDER BY t DESC))

@@ -199,3 +199,12 @@ def test_entry(spark, tables):
     assert set(e.oracle_sql()) <= set(found)
     for name in ("topk_dfs", "qf_chi2_p", "export_transactions"):
         assert found[name](spark, tables).count() > 0
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
