@@ -280,6 +280,27 @@ def test_attention_model():
     assert model.score(flat, lengths).sum() == pytest.approx(want, rel=1e-4)
 
 
+def test_lm_learns_from_whole_texts(spark, monkeypatch):
+    """Classes count neighbours in every part of every training text, and windows are drawn from every part too."""
+    rows = [(i, "common words come first " * 400 + f"quaint zebra {i} " * 300) for i in range(40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    encoder = wavelet.CachedEncoder(WORD)
+    ids, lengths = encoder.encode_batch([t.encode() for _, t in rows])
+    sub = np.bincount(ids, minlength=lm.IDS)
+    got, drawn = lm.learn_from(train, sub, WORD)
+    model = np.zeros(lm.IDS * lm.CELLS, np.int64)
+    for x in np.split(ids, np.cumsum(lengths)[:-1]):
+        lm.count_neighbours(model, lm.near_places(sub), x)
+    assert (got.reshape(-1) == model).all() and got.sum() == 2 * (len(ids) - len(rows))
+    assert len(drawn) == len(lm.draw_windows(ids, lengths)) and (drawn[:, lm.CONTEXT + 1 :] != lm.NONE).sum() == len(ids)
+    late = encoder.encode_batch([b"zebra"])[0][0]
+    for share in (1 / 8, 1 / 4):
+        monkeypatch.setattr(lm, "TRAIN_WINDOWS", 0)
+        monkeypatch.setattr(lm, "TRAIN_SHARE", share)
+        some = lm.learn_from(train, sub, WORD)[1]
+        assert 0.7 * share < len(some) / len(drawn) < 1.3 * share and (some == late).any()
+
+
 def test_quality(docs, texts, empty):
     got = by_id(quality.quality(docs, min_docs=5, share=0.0))
     for i, t in enumerate(texts):
