@@ -280,6 +280,17 @@ def test_attention_model():
     assert model.score(flat, lengths).sum() == pytest.approx(want, rel=1e-4)
 
 
+def test_classes_and_chunks():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 3000, 4000) for _ in range(12)]
+    model = lm.AttentionModel(np.bincount(np.concatenate(texts), minlength=lm.IDS))
+    model.set_classes(texts)
+    assert len(np.unique(model.cls)) > 128
+    model.freeze()
+    flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    assert model.score(flat, lengths) == pytest.approx(model.score(flat, lengths, chunk=1024), rel=1e-5)
+
+
 def test_lm_learns_from_whole_texts(spark, monkeypatch):
     """Classes count neighbours in every part of every training text, and windows are drawn from every part too."""
     rows = [(i, "common words come first " * 400 + f"quaint zebra {i} " * 300) for i in range(40)]
