@@ -16,6 +16,8 @@ document shares its component, a null component; an empty table gives no rows; o
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,12 @@ from .components import connected
 SEED = 42
 SHINGLE = 3
 MAX_DIFF = 2
+#: What the pipeline's near-duplicate stage links: exact similarity over five-word shingles. Candidates are fingerprints
+#: of two-word shingles within so many bits; fingerprints of wider shingles differ by more for the same similarity.
+NEAR_SHINGLE = 5
+NEAR_MARK = 2
+NEAR_DIFF = 9
+NEAR_JACCARD = 0.8
 #: Bits of the levels under an upper node's 35 fixed bits.
 LEVELS = (6, 6, 6, 6, 5)
 #: Node pairs that are expanded at once.
@@ -89,6 +97,22 @@ def _masks() -> list[list[tuple[int, int]]]:
 MASKS = _masks()
 
 
+def wide_masks(max_diff: int, same: int = 2) -> list[list[tuple[int, int]]]:
+    """As ``_masks`` for any limit: of ``max_diff + same`` segments, two fingerprints within it agree in ``same`` whole ones."""
+    n = max_diff + same
+    cuts, out = [64 * i // n for i in range(n + 1)], []
+    for chosen in combinations(range(n), same):
+        part = [b for i in chosen for b in range(cuts[i], cuts[i + 1])]
+        bits, runs = part + [b for b in range(64) if b not in set(part)], []
+        for b in bits:
+            if runs and b == runs[-1][0] + runs[-1][1]:
+                runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+            else:
+                runs.append((b, 1))
+        out.append((runs, len(part)))
+    return out
+
+
 def permute(fp: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros_like(fp)
     for at, n in runs:
@@ -96,13 +120,13 @@ def permute(fp: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def index_rows(reps: DataFrame) -> DataFrame:
-    """kind, head, gray, rep: a distinct fingerprint under each of its nine upper nodes."""
+def index_rows(reps: DataFrame, masks: list = MASKS) -> DataFrame:
+    """kind, head, gray, rep: a distinct fingerprint under each of its upper nodes."""
 
     def run(batches):
         for batch in batches:
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            for kind, (runs, fixed) in enumerate(MASKS):
+            for kind, (runs, fixed) in enumerate(masks):
                 p = permute(fp, runs)
                 cols = [pa.array(np.full(len(p), kind, np.int32)), pa.array((p >> np.uint64(64 - fixed)).astype(np.int64)), pa.array(gray_rank(p).view(np.int64)), batch.column(1)]
                 yield pa.RecordBatch.from_arrays(cols, ["kind", "head", "gray", "rep"])
@@ -139,10 +163,11 @@ class Forest:
             np.minimum.at(self.up, high, low)
 
 
-def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DIFF) -> np.ndarray:
+def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DIFF, part: np.ndarray | None = None, pairs: list | None = None, twins: bool = False) -> np.ndarray:
     """Forest roots of members sorted by (group, Gray rank); ``low`` holds their free bits, ``bits`` of them.
 
-    Nodes of each level are runs of members that share a group and the free bits down to that level.
+    Nodes of each level are runs of members that share a group and the free bits down to that level. With ``pairs``,
+    every linked pair of members of different ``part`` is added to it as well. With ``twins``, members may be equal.
     """
     n = len(group)
     forest, change = Forest(n), np.concatenate([[True], group[1:] != group[:-1]])
@@ -155,6 +180,9 @@ def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DI
         at, _ = _runs(change)
         starts.append(at)
         levels.append((head[at[:-1]] & np.uint64((1 << step) - 1)).astype(np.uint8))
+    if twins:  # a last level of no bits, where each member stands alone
+        starts.append(np.arange(n + 1))
+        levels.append(np.zeros(n, np.uint8))
     # first child of each node, by level: children are the nodes of the next level that start inside it
     first = [np.searchsorted(starts[k + 1], starts[k]) for k in range(len(levels))]
     top = np.flatnonzero(np.diff(starts[0]) > 1)
@@ -163,6 +191,9 @@ def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DI
         k, a, b, diff = stack.pop()
         if k == len(levels):
             at = starts[k]
+            if pairs is not None:
+                apart = part[at[a]] != part[at[b]]
+                pairs.append((at[a][apart], at[b][apart]))
             forest.join(at[a], at[b])
             continue
         na, nb = first[k][a + 1] - first[k][a], first[k][b + 1] - first[k][b]
@@ -188,24 +219,33 @@ def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DI
     return forest.roots(np.arange(n))
 
 
-def index_links(rows: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """a, b: spanning forests of the links below each upper node. Tasks hold whole upper nodes, a block at a time."""
+def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS, whole: bool = False, twins: bool = False) -> DataFrame:
+    """a, b: spanning forests of the links below each upper node. Tasks hold whole upper nodes, a block at a time.
+
+    With ``whole``, all links between members of a different ``part`` (a column more) instead.
+    """
+    names = ["kind", "head", "gray", "rep"] + ["part"] * whole
 
     def run(batches):
-        def solve(kind, head, gray, rep):
+        def solve(kind, head, gray, rep, part=None):
             p = gray ^ gray >> np.uint64(1)
             for k in np.unique(kind):
                 own = np.flatnonzero(kind == k)
-                free = 64 - MASKS[k][1]
+                free = 64 - masks[k][1]
                 group = np.cumsum(np.concatenate([[0], head[own][1:] != head[own][:-1]]))
-                root = linked(group, p[own] & np.uint64((1 << free) - 1), free, max_diff)
+                pairs: list | None = [] if whole else None
+                root = linked(group, p[own] & np.uint64((1 << free) - 1), free, max_diff, part[own] if whole else None, pairs, twins)
+                if whole:
+                    for a, b in pairs:
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[own][np.minimum(a, b)]), pa.array(rep[own][np.maximum(a, b)])], ["a", "b"])
+                    continue
                 far = np.flatnonzero(root != np.arange(len(own)))
                 if len(far):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[own][root[far]]), pa.array(rep[own][far])], ["a", "b"])
 
         held: list = []
         for batch in batches:
-            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), np.asarray(batch.column(3))])
+            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), *(np.asarray(c) for c in batch.columns[3:])])
             if sum(len(x[0]) for x in held) < 50_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
@@ -219,7 +259,7 @@ def index_links(rows: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
         if held:
             yield from solve(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "kind", "head")
+    dealt = rows.select(*names).repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "kind", "head")
     return dealt.sortWithinPartitions("kind", "head", "gray").mapInArrow(run, "a long, b long")
 
 
@@ -245,3 +285,60 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_diff: int = MAX_DIFF)
     found = near_duplicates(docs, shingle, max_diff)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return join_null_safe(docs, keep, "doc_id").select(*docs.columns)
+
+
+def jaccard(x: bytes, y: bytes, shingle: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; wordless texts are alike."""
+    a, b = (set(zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else {tuple(w)} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def checked(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links a, b whose texts (key, data) are at least so similar."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            yield batch.filter(pa.array([jaccard(u, v, shingle) >= least for u, v in zip(x, y)], pa.bool_())).select(["a", "b"])
+
+    a, b = (texts.select(F.col("key").alias(k), F.col("data").alias(f"text_{k}")) for k in "ab")
+    return links.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int = NEAR_MARK, max_diff: int = NEAR_DIFF, least: float = NEAR_JACCARD) -> DataFrame:
+    """doc_id, fp, component_id, the smallest doc_id of the component.
+
+    Links join texts whose Jaccard similarity is ``least`` or more: all those whose fingerprints (of ``mark``-word
+    shingles) differ by at most ``max_diff`` bits, and those met at the ends of a chain of such. Each distinct text is
+    a node. First the index's spanning forests are checked, then every candidate between what these leave apart, so
+    that none is missed and large groups do not yield all their pairs.
+    """
+    masks = wide_masks(max_diff)
+
+    def rows(c: dict) -> dict:
+        got = np.array([fingerprint(b, mark) for b in c["data"]], np.uint64).astype(np.int64)
+        return {"doc_id": c["doc_id"], "key": c["key"], "fp": pa.array(got), "data": c["data"]}
+
+    ship(docs.sparkSession)
+    data = docs.select("doc_id", text_bytes().alias("data")).withColumn("key", F.xxhash64("data"))
+    marks = materialize(map_rows(data, rows, "doc_id long, key long, fp long, data binary"), "fingerprints")
+    reps = materialize(marks.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "representatives")
+    candidates = materialize(index_links(index_rows(reps.withColumn("rep", F.col("key")), masks), max_diff, masks, twins=True).distinct(), "candidates")
+    near = candidates.select(F.col("a").alias("key")).union(candidates.select(F.col("b").alias("key"))).distinct()
+    texts = materialize(marks.join(near, "key", "left_semi").groupBy("key").agg(F.min("data").alias("data")), "texts")
+    links = materialize(checked(candidates, texts, shingle, least), "links")
+    first = connected(links).withColumnRenamed("rep", "key")
+    some = reps.join(near, "key", "left_semi").join(first, "key", "left").select("fp", F.col("key").alias("rep"), F.coalesce("component", "key").alias("part"))
+    some = materialize(some, "parts")
+    index = index_rows(some, masks).join(some.select("rep", "part"), "rep")
+    more = materialize(index_links(index, max_diff, masks, whole=True, twins=True).distinct(), "candidates").join(candidates, ["a", "b"], "left_anti")
+    found = connected(materialize(links.union(checked(more, texts, shingle, least)), "links")).withColumnRenamed("rep", "key")
+    node = materialize(reps.join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("node")), "nodes")
+    of = node.join(node.groupBy("node").agg(F.min("least").alias("component_id")), "node").select("key", "component_id")
+    return marks.select("doc_id", "key", "fp").join(of, "key").select("doc_id", "fp", "component_id")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """The documents that are the smallest of their similarity component; of rows that repeat a doc_id all stay."""
+    keep = similar_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return join_null_safe(docs, keep, "doc_id").select(*docs.columns)

@@ -103,6 +103,36 @@ def test_gray_index_finds_every_link(spark):
     assert all(got.get(i, i) == want[i] for i in range(len(fps)))
 
 
+def test_similar_texts_beyond_two_bits(spark):
+    """Every pair within the bit limit whose exact similarity suffices is linked, also when it differs by more than 2 bits."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rnd.randint(0, 9999)}" for _ in range(150)]
+        for k in range(6):
+            w = list(base)
+            for _ in range(k):
+                w[rnd.randrange(150)] = "changed"
+            texts.append(" ".join(w))
+    texts += ["", texts[1].upper()]
+    fps = [brute_fingerprint(t, simhash.NEAR_MARK) for t in texts]
+    near, like, wide = list(range(len(texts))), list(range(len(texts))), 0
+    for _ in range(5):
+        for i in range(len(texts)):
+            for j in range(i):
+                if simhash.jaccard(texts[i].encode(), texts[j].encode(), 5) >= 0.8:
+                    like[i] = like[j] = min(like[i], like[j])
+                    if (bits := (fps[i] ^ fps[j]).bit_count()) <= simhash.NEAR_DIFF:
+                        near[i] = near[j] = min(near[i], near[j])
+                        wide += bits > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = by_id(simhash.similar_components(docs))
+    got = [rows[i]["component_id"] for i in range(len(texts))]
+    assert wide and all(got[i] == got[near[i]] and like[i] == like[got[i]] for i in range(len(texts)))
+    assert got[3 * 6 + 1] == got[3 * 6] and got[-1] == got[1]
+    assert {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()} == set(got)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(260, 259), (5, 5)]
     got = {r["rep"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
