@@ -18,8 +18,10 @@ from .common import join_null_safe, map_rows, materialize, ship, text_bytes
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: A line is boilerplate on a host when more distinct documents than both limits have it.
+#: A line is boilerplate on a host when more distinct documents than both limits have it. The first is the query's
+#: contract (see its SQL); ``clean`` goes by share and takes a floor of a few documents instead.
 MIN_LINE_DOCS = 100
+FEW_DOCS = 5
 LINE_SHARE = 0.005
 #: A document is depleted when fewer words or a smaller share of its words than these stay.
 MIN_WORDS = 10
@@ -109,9 +111,17 @@ def quality(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_
     return join_null_safe(stats, lost, "doc_id", "left").withColumn("base_failed", base).withColumn("kept", ~base & ~depleted).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, min_docs: int = FEW_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """One row: lines (a host's each) that are boilerplate, documents and words that lose them, documents depleted by it."""
+    lines = common_lines(line_table(docs), min_docs, share).agg(F.count("*").alias("lines"))
+    hit = F.col("removed_words") > 0
+    rows = quality(docs, min_docs, share).agg(F.count_if(hit).alias("docs"), F.coalesce(F.sum("removed_words"), F.lit(0)).alias("words"), F.count_if(hit & ~F.col("kept") & ~F.col("base_failed")).alias("depleted"))
+    return lines.crossJoin(rows)
+
+
+def clean(docs: DataFrame, min_docs: int = FEW_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """The documents that pass, without their boilerplate lines; the columns of the input, ``n_chars`` follows the text."""
-    found = quality(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.first("removed").alias("_removed"))
+    found = quality(docs, min_docs, share).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.first("removed").alias("_removed"))
     out = join_null_safe(docs, found.filter("_kept").select("doc_id", "_removed"), "doc_id")
     line = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("_removed"), F.xxhash64(normal_line(x))))
     whole = F.col("_removed").isNull()

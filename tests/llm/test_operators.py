@@ -366,6 +366,16 @@ def test_quality(docs, texts, empty):
     assert quality.clean(docs).columns == docs.columns
 
 
+def test_boilerplate_by_share_on_small_hosts(spark):
+    """A line on a fifth of a small host's pages is boilerplate for the pipeline, whatever the size of the table."""
+    line = "all rights reserved by nobody in particular"
+    text = lambda h, i: " ".join(f"{h}w{i}x{k}" for k in range(20)) + (f"\n{line}" if i % 5 == 0 else "")
+    for n in (60, 240):
+        docs = spark.createDataFrame([(1000 * h + i, text(h, i), f"h{h}") for h in range(2) for i in range(n)], "doc_id long, text string, source string")
+        assert all(line not in r["text"] for r in quality.clean(docs).collect())
+        assert quality.removed(docs).first().asDict() == {"lines": 2, "docs": 2 * n // 5, "words": 2 * n // 5 * 7, "depleted": 0}
+
+
 def test_depleted(spark):
     boiler = "this line is on every page of the site forever"
     rows = [(i, f"{boiler}\nanother footer that nobody reads but all pages show\nown words {i}", "h") for i in range(30)] + [(99, boiler + "\n" + " ".join(f"w{k}" for k in range(40)), "h")]
