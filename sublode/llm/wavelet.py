@@ -2,12 +2,14 @@
 
 Texts are encoded with a public tokenizer file, an end id follows each document, and documents are written in
 ascending ``doc_id`` order: the table is range-partitioned and sorted by ``doc_id`` and each partition is cut into
-shards of a bounded number of ids. A shard file holds the documents' lengths and one zlib-compressed bit plane for
-each bit of the ids, highest first; within a plane the ids stand in the order that the planes above have given them
-(zeros before ones, both in their former order). Rank counts are kept per 512 bits and rebuilt when a shard is opened.
+shards of a bounded number of ids. A shard file holds the documents' lengths and one bit plane for each bit of the ids,
+highest first; within a plane the ids stand in the order that the planes above have given them (zeros before ones, both
+in their former order). A plane is compressed in blocks of ``BLOCK_BITS`` bits, and the file stores where each block
+lies and how many ones precede it, so a query inflates only the blocks it touches.
 
 Defined edge cases: a null text is empty and gives the end id alone; a null ``doc_id`` sorts first; rows that repeat a
-``doc_id`` are documents of their own, in no particular order among themselves; an empty table gives no file and no row.
+``doc_id`` are documents of their own, in no particular order among themselves; an empty table gives no file and no row;
+other columns, whatever their names, play no part; broken UTF-8 is read with U+FFFD.
 """
 
 from __future__ import annotations
@@ -18,62 +20,94 @@ import re
 import struct
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, read_stream, ship, text_bytes, write_once
 
 END_ID = 2
-BITS = 16
 SHARD_IDS = 1_000_000
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+#: Bits of a plane that are compressed together; ones are counted up to each block.
+BLOCK_BITS = 1 << 16
 #: Distinct words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Bytes of texts that are encoded at once.
+BATCH_BYTES = 1_000_000
 
-
-#: Words of these letters alone are one piece that no normalisation changes: the library's merges can have them at once.
+#: Letters that the normaliser maps one by one, and that are one piece of the splitter wherever they stand together.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").fullmatch
+#: Plain letters and ASCII marks, but for those of contractions and special tokens: runs of either are pieces.
+_MARKED = re.compile("(?:[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]|[!-/:-@\\[-`{-~](?<!['<>|]))+").fullmatch
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+|[^a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").findall
+#: A character outside those of simple texts: letters that normalise one by one, digits, white space, full stop, comma.
+_ODD = re.compile("[^a-zA-Z0-9\t-\r .,\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0153]").search
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level alphabets show each byte as a character: printable ones as themselves, the rest from 256 on.
 _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class _Words(dict):
-    """The ids of words, packed; a missing word comes from the older generation or from the library."""
+    """The packed ids of words; a missing word comes from the older generation or is encoded."""
 
-    def __init__(self, model, old: dict):
+    def __init__(self, model, kind: str, old: dict):
         super().__init__()
-        self.model, self.merges, self.old = model, model.model.tokenize, old
+        self.model, self.merges, self.kind, self.old = model, model.model.tokenize, kind, old
 
     def __missing__(self, w: bytes) -> bytes:
         got = self.old.get(w)
         if got is None:
-            low = w.lower()
-            if low != w:
-                got = self[low]
-            elif w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
-                got = self[w[:-1]] + self[w[-1:]]
-            else:
-                text = w.decode("utf-8", "replace")
-                if _PLAIN(text.lower()):
-                    ids = [t.id for t in self.merges(text.lower().encode().decode("latin-1").translate(_VISIBLE))]
-                else:
-                    ids = self.model.encode(text, add_special_tokens=False).ids
-                got = array("H", ids).tobytes()
+            got = self.make(w)
         self[w] = got
         return got
 
+    def make(self, w: bytes) -> bytes:
+        """Plain letters need the merges alone; letters and marks are looked up piece by piece; all else is the library's."""
+        low = w.lower()
+        if low.isalpha():  # ASCII letters
+            return array(self.kind, [t.id for t in self.merges(low.decode())]).tobytes()
+        text = w.decode("utf-8", "replace")
+        low = text.lower()
+        if _PLAIN(low):
+            return array(self.kind, [t.id for t in self.merges(low.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+        if _MARKED(low) and len(pieces := _PIECES(low)) > 1:
+            return b"".join([self[x.encode()] for x in pieces])
+        return array(self.kind, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def spaced(data: bytes) -> list[bytes]:
+    """Words of a text; in simple texts they are lowered, and full stops and commas that end a word are words too.
+
+    In those each mark is a piece of the splitter's own, unless two stand together.
+    """
+    if not any(two in data for two in (b"..", b",,", b".,", b",.")) and _ODD(data.decode("utf-8", "replace")) is None:
+        data = data.lower().replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ")
+    return data.split()
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file has the normaliser, splitter and model for which a text's ids are its words' ids in order."""
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0].get("pattern", {}).get("Regex") == _SPLIT and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges")
+
+
+#: Fixed value: the splitting pattern of the tokenizer file for which words may be encoded one by one.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 class CachedEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
-    The tokenizer file lowers case, drops white space before its merges, and its normaliser never joins characters
-    across an ASCII white-space character, so the ids of a text are the ids of its white-space-separated words in
-    order. A full stop or comma alone after an ASCII letter at a word's end is always a piece of its own. When the
-    younger generation of the cache is full it becomes the older one, and words still in use move on from there.
+    Where the tokenizer file's steps allow it (``splits_at_spaces``), the ids of a text are those of its words between
+    ASCII white space: the splitter drops white space, and normalisation never joins characters across it. Other files
+    are given whole texts. When the younger generation of the cache is full it becomes the older one, and words still
+    in use move on from there.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -81,16 +115,32 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.model, self.end_id = Tokenizer.from_file(path), end_id
-        self.cache = _Words(self.model, {})
+        self.size = max(self.model.get_vocab(True).values()) + 1
+        if not 0 <= end_id < self.size:
+            raise ValueError(f"the tokenizer has no id {end_id}")
+        self.kind, self.dtype = ("H", np.uint16) if self.size <= 1 << 16 else ("I", np.uint32)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_spaces(json.load(f))
+        self.cache = _Words(self.model, self.kind, {}) if self.by_word else {}
+
+    @property
+    def bits(self) -> int:
+        return max(1, (self.size - 1).bit_length())
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each."""
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.old = {}
-            self.cache = _Words(self.model, self.cache)
-        get, end = self.cache.__getitem__, array("H", [self.end_id]).tobytes()
-        data = [b"".join(map(get, x.split())) + end for x in texts]
-        return np.frombuffer(b"".join(data), np.uint16), np.array([len(x) // 2 for x in data], np.int64)
+        end = array(self.kind, [self.end_id]).tobytes()
+        if self.by_word:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.old = {}
+                self.cache = _Words(self.model, self.kind, self.cache)
+            get = self.cache.__getitem__
+            data = [b"".join(map(get, spaced(x))) + end for x in texts]
+        else:
+            found = self.model.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+            data = [array(self.kind, x.ids).tobytes() + end for x in found]
+        wide = np.dtype(self.dtype).itemsize
+        return np.frombuffer(b"".join(data), self.dtype), np.array([len(x) // wide for x in data], np.int64)
 
 
 _workers: dict[str, CachedEncoder] = {}
@@ -103,79 +153,104 @@ def worker_encoder(path: str) -> CachedEncoder:
     return _workers[path]
 
 
-def build_planes(ids: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """The bit planes of a wavelet matrix, highest bit first."""
-    planes, now = [], ids
+def planes_of(ids: np.ndarray, bits: int):
+    """The packed bit planes of a wavelet matrix one by one, highest bit first."""
+    now = ids
     for k in range(bits - 1, -1, -1):
         one = (now >> k & 1).astype(bool)
-        planes.append(np.packbits(one))
-        now = np.concatenate([now[~one], now[one]])
-    return planes
+        yield np.packbits(one)
+        if k:
+            now = np.concatenate([now[~one], now[one]])
+
 
+def dump_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, bits: int = 16) -> bytes:
+    """A shard file: magic, header length, header, the documents' ids and lengths, then each plane's blocks.
 
-def dump_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard file: magic, header length, header (counts and sizes), the documents' ids and lengths, the bit planes."""
+    The header gives counts and part sizes; before a plane's blocks stand their compressed sizes and the ones before each.
+    """
     known = np.array([0 if d is None else d for d in doc_ids], np.int64)
     parts = [zlib.compress(x.tobytes(), 1) for x in (known, np.array([d is None for d in doc_ids], bool), lengths.astype(np.int64))]
-    parts += [zlib.compress(p.tobytes(), 1) for p in build_planes(ids)]
-    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": BITS, "sizes": [len(p) for p in parts]}).encode()
+    step = BLOCK_BITS // 8
+    for p in planes_of(ids, bits):
+        blocks = [zlib.compress(p[i : i + step], 1) for i in range(0, len(p), step)]
+        ones = np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)) if len(p) else np.zeros(0, np.int64)
+        table = np.array([len(b) for b in blocks], "<i8").tobytes() + np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes()
+        parts += [table, b"".join(blocks)]
+    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "block": BLOCK_BITS, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
+class _Plane:
+    """One bit plane of an opened shard: rank and select over compressed blocks, of which a few are kept inflated."""
+
+    def __init__(self, data: memoryview, table: bytes, n: int, block: int):
+        blocks = -(-n // block)
+        sizes = np.frombuffer(table, "<i8", blocks)
+        self.before = np.frombuffer(table, "<i8", blocks + 1, 8 * blocks)
+        self.zeros, self.n, self.bits = n - int(self.before[-1]), n, block
+        at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        self.block = lru_cache(4)(lambda b: np.frombuffer(zlib.decompress(data[at[b] : at[b + 1]]), np.uint8))
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // self.bits)[i % self.bits // 8]) >> (7 - i % 8) & 1
+
+    def ones(self, i: int) -> int:
+        """Ones before position i."""
+        b, k = divmod(i, self.bits)
+        if not k:
+            return int(self.before[b])
+        p = self.block(b)
+        out = int(self.before[b]) + int(np.bitwise_count(p[: k // 8]).sum())
+        return out + (int(p[k // 8]) >> (8 - k % 8)).bit_count() if k % 8 else out
+
+    def select(self, bit: int, want: np.ndarray) -> np.ndarray:
+        """Positions of the ``want``-th (ascending, from 0) such bits: the block by its counts, the place inside it."""
+        ends = self.before if bit else np.minimum(np.arange(len(self.before)) * self.bits, self.n) - self.before
+        where, out = np.searchsorted(ends, want, side="right") - 1, np.empty(len(want), np.int64)
+        for b in np.unique(where).tolist():
+            own = where == b
+            places = np.flatnonzero(np.unpackbits(self.block(b), count=min(self.bits, self.n - b * self.bits)) == bit)
+            out[own] = b * self.bits + places[want[own] - ends[b]]
+        return out
+
+    def whole(self) -> np.ndarray:
+        """All bits."""
+        return np.unpackbits(np.concatenate([self.block(b) for b in range(len(self.before) - 1)]), count=self.n).astype(bool) if self.n else np.zeros(0, bool)
+
+
 class WaveletShard:
     """A shard file, opened: token access, rank, counting and occurrence lookup, and decoding of whole documents."""
 
-    BLOCK = 512
-
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
         (size,) = struct.unpack("<I", data[4:8])
         head = json.loads(data[8 : 8 + size])
-        at, parts = 8 + size, []
+        view, at, parts = memoryview(data), 8 + size, []
         for n in head["sizes"]:
-            parts.append(zlib.decompress(data[at : at + n]))
+            parts.append(view[at : at + n])
             at += n
         self.n, self.bits = head["n"], head["bits"]
-        nulls = np.frombuffer(parts[1], bool)
-        self.doc_ids = [None if z else int(d) for d, z in zip(np.frombuffer(parts[0], np.int64), nulls)]
-        self.lengths = np.frombuffer(parts[2], np.int64)
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-        self._ranks: list | None = None
-
-    def _rank_tables(self):
-        if self._ranks is None:
-            step, self._ranks = self.BLOCK // 8, []
-            for p in self.planes:
-                ones = np.bitwise_count(p).astype(np.int64)
-                per = np.add.reduceat(ones, np.arange(0, len(p), step)) if len(p) else ones
-                self._ranks.append((np.concatenate([[0], np.cumsum(per)]), self.n - int(ones.sum())))
-        return self._ranks
-
-    def _ones(self, k: int, i: int) -> int:
-        """Ones of plane k before position i."""
-        table, _ = self._rank_tables()[k]
-        block, p = i // self.BLOCK, self.planes[k]
-        out, at = int(table[block]), block * self.BLOCK // 8
-        out += int(np.bitwise_count(p[at : i // 8]).sum())
-        return out + (int(p[i // 8]) >> (8 - i % 8)).bit_count() if i % 8 else out
+        known, nulls, lengths = (zlib.decompress(p) for p in parts[:3])
+        self.doc_ids = [None if z else int(d) for d, z in zip(np.frombuffer(known, np.int64), np.frombuffer(nulls, bool))]
+        self.lengths = np.frombuffer(lengths, np.int64)
+        self.planes = [_Plane(parts[k + 1], bytes(parts[k]), self.n, head["block"]) for k in range(3, len(parts), 2)]
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for k in range(self.bits):
-            bit, zeros = int(self.planes[k][i // 8]) >> (7 - i % 8) & 1, self._rank_tables()[k][1]
-            before = self._ones(k, i)
-            i = zeros + before if bit else i - before
+        for p in self.planes:
+            bit, before = p.bit(i), p.ones(i)
+            i = p.zeros + before if bit else i - before
             out = out << 1 | bit
         return out
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        for k in range(self.bits):
-            zeros, a, b = self._rank_tables()[k][1], self._ones(k, lo), self._ones(k, hi)
-            lo, hi = (zeros + a, zeros + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
+        for k, p in enumerate(self.planes):
+            a, b = p.ones(lo), p.ones(hi)
+            lo, hi = (p.zeros + a, p.zeros + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, token: int, i: int) -> int:
@@ -186,36 +261,33 @@ class WaveletShard:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _up(self, token: int, places: np.ndarray) -> np.ndarray:
+        for k in range(self.bits - 1, -1, -1):
+            p, one = self.planes[k], token >> (self.bits - 1 - k) & 1
+            places = p.select(one, places - p.zeros if one else places)
+        return places
+
     def select(self, token: int, j: int) -> int:
         """Position of the j-th occurrence (from 0) of an id."""
         lo, hi = self._range(token, 0, self.n)
         if not 0 <= j < hi - lo:
             raise IndexError(j)
-        i = lo + j
-        for k in range(self.bits - 1, -1, -1):
-            zeros, one = self._rank_tables()[k][1], token >> (self.bits - 1 - k) & 1
-            want = i - zeros if one else i
-            a, b = 0, self.n  # the smallest prefix with want + 1 such bits
-            while a < b:
-                mid = (a + b) // 2
-                ones = self._ones(k, mid + 1)
-                a, b = (a, mid) if (ones if one else mid + 1 - ones) > want else (mid + 1, b)
-            i = a
-        return i
+        return int(self._up(token, np.array([lo + j]))[0])
 
     def locate(self, token: int) -> list[int]:
-        """All positions of an id, ascending."""
-        return [self.select(token, j) for j in range(self.count(token))]
+        """All positions of an id, ascending: one range, taken up through the planes together."""
+        lo, hi = self._range(token, 0, self.n)
+        return self._up(token, np.arange(lo, hi)).tolist()
 
     def ids(self) -> np.ndarray:
         """All ids: the order of the lowest plane, then back up through each plane."""
-        now = np.zeros(self.n, np.uint16)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n).astype(bool)
-            zeros = self.n - int(np.count_nonzero(one))
-            out = np.empty(self.n, np.uint16)
+            one, zeros = self.planes[k].whole(), self.planes[k].zeros
+            out = np.empty(self.n, kind)
             out[~one] = now[:zeros]
-            out[one] = now[zeros:] | np.uint16(1 << (self.bits - 1 - k))
+            out[one] = now[zeros:] | kind(1 << (self.bits - 1 - k))
             now = out
         return now
 
@@ -235,18 +307,18 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SH
         def flush():
             name = f"{path}/shard-{part:06d}-{shard:06d}.wvm"
             every = np.concatenate(ids)
-            write_once(name, dump_shard(names, np.concatenate(lengths), every))
+            write_once(name, dump_shard(names, np.concatenate(lengths), every, encoder.bits))
             done.append((part, shard, name, len(names), len(every)))
 
         for batch in batches:
-            all_names, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            all_names, texts, sizes = batch.column(0).to_pylist(), batch.column(1), pc.binary_length(batch.column(1)).to_pylist()
             at = 0
-            while at < len(all_texts):
-                end, room = at, 1_000_000
-                while end < len(all_texts) and (end == at or room > 0):
-                    room -= len(all_texts[end])
+            while at < len(sizes):
+                end, room = at, BATCH_BYTES
+                while end < len(sizes) and (end == at or room > 0):
+                    room -= sizes[end]
                     end += 1
-                got, n = encoder.encode_batch(all_texts[at:end])
+                got, n = encoder.encode_batch(texts.slice(at, end - at).to_pylist())
                 names += all_names[at:end]
                 ids.append(got)
                 lengths.append(n)
