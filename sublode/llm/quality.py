@@ -1,32 +1,34 @@
 """Quality rules: per-text statistics and the cross-document line frequency of each host.
 
 Every line is normalised (lower case of A-Z, runs of white space as one space) and hashed. For each host (the
-``source`` column) the number of *distinct documents* with that line is counted; identical texts are one document,
-so that a group of exact copies does not make its own lines look like boilerplate. Lines above the limit are removed,
-and a document that keeps too few words is depleted and rejected.
-
-Defined edge cases: a null text has no words and fails the base rules; a null host is a host of its own; a text
-without words has no lines to count; rows that repeat a doc_id are one document for the line counts; equal lines inside one document count once; other columns are ignored.
+``source`` column) the number of distinct documents with that line is counted; documents of equal text are one, so that
+a group of exact copies does not make its own lines look like boilerplate. Lines on more than ``MIN_LINE_DOCS``
+documents and on more than ``LINE_SHARE`` of the host's are removed, every occurrence of them, and a document that keeps
+too few words is depleted and rejected.
+
+Defined edge cases: a null text has no words and fails the base rules; a null host is a host of its own; a text without
+words has no lines to count; each row is judged on its own text and host, so rows that repeat a doc_id, or have none,
+keep their own verdicts; a line that repeats inside a text is one document's line, and each occurrence of it counts as
+removed; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, map_rows, materialize, ship, text_bytes
+from .common import map_rows, materialize, ship, text_bytes
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: A line is boilerplate on a host when more distinct documents than both limits have it. The first is the query's
-#: contract (see its SQL); ``clean`` goes by share and takes a floor of a few documents instead.
-MIN_LINE_DOCS = 100
-FEW_DOCS = 5
-LINE_SHARE = 0.005
+#: A line is boilerplate on a host when more distinct documents than both limits have it. The share decides; the floor
+#: keeps a few pages of a small host from making each other's lines common.
+MIN_LINE_DOCS = 5
+LINE_SHARE = 0.05
 #: A document is depleted when fewer words or a smaller share of its words than these stay.
 MIN_WORDS = 10
 MIN_SHARE = 0.1
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long"
+STATS = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def repeated_words(words: list) -> int:
@@ -64,8 +66,17 @@ def text_stats(data: bytes) -> tuple[int, int, int, int, int]:
 
 def _stat_rows(c: dict) -> dict:
     got = [text_stats(b) for b in c["data"]]
-    cols = list(zip(*got))
-    return {"doc_id": c["doc_id"], "n_words": cols[0], "word_chars": cols[1], "n_symbols": cols[2], "n_dup_lines": cols[3], "n_repeat_words": cols[4], "text_hash": c["text_hash"]}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return {"doc_id": c["doc_id"], "host": c["host"], "text_hash": c["text_hash"], **dict(zip(names, zip(*got)))}
+
+
+def host_of() -> Column:
+    """The host as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def text_of() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def normal_line(line):
@@ -73,59 +84,66 @@ def normal_line(line):
     return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_hash, line (hash), words: one row per document and distinct line that has a word."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    normal = F.filter(F.transform(F.split(text, "\n", -1), normal_line), lambda x: x != "")
-    line = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")))
-    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(line).alias("x"))
-    return rows.select("doc_id", "host", "text_hash", "x.line", "x.words")
+def text_lines() -> Column:
+    """Hash and number of words of each line that has a word, in order, repeats included."""
+    normal = F.filter(F.transform(F.split(text_of(), "\n", -1), normal_line), lambda x: x != "")
+    return F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")))
+
 
+def text_table(docs: DataFrame) -> DataFrame:
+    """host, text_hash, lines: the distinct texts of each host that have a line."""
+    rows = docs.select(host_of().alias("host"), F.xxhash64(text_of()).alias("text_hash"), text_lines().alias("lines")).filter(F.size("lines") > 0)
+    return rows.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
 
-def common_lines(lines: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """host, line, docs of the lines above the limits; copies of a text count once."""
-    once = lines.select("host", "line", "text_hash").distinct()
-    per_line = once.groupBy("host", "line").agg(F.count("*").alias("docs"))
-    per_host = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+
+def common_lines(texts: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """host, line, docs of the lines above the limits; each text counts a line once."""
+    per_line = texts.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    per_host = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     return per_line.filter(F.col("docs") > min_docs).join(per_host, "host").filter(F.col("docs") > F.col("host_docs") * share).select("host", "line", "docs")
 
 
 def removed_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """doc_id, removed_words, removed (distinct hashes of the removed lines) of the documents that lose a line."""
-    lines = materialize(line_table(docs), "lines")
-    found = materialize(common_lines(lines, min_docs, share), "common-lines")
-    return lines.join(found.select("host", "line"), ["host", "line"]).groupBy("doc_id").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
+    """host, text_hash, removed_words, removed (distinct hashes of the removed lines) of the texts that lose a line."""
+    texts = materialize(text_table(docs), "texts")
+    found = materialize(common_lines(texts, min_docs, share), "common-lines")
+    lines = texts.select("host", "text_hash", F.inline("lines"))
+    return lines.join(found.select("host", "line"), ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
 
 
 def quality(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """One row per document: statistics, ``base_failed``, ``removed_words``, ``removed`` line hashes and ``kept``.
-
-    A repeated line of one document counts once in ``removed_words``.
-    """
+    """One row per row: statistics, ``base_failed``, ``removed_words``, ``removed`` line hashes and ``kept``."""
     ship(docs.sparkSession)
-    stats = map_rows(docs.select("doc_id", text_bytes().alias("data"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), _stat_rows, STATS).drop("text_hash")
-    lost = removed_lines(docs, min_docs, share)
+    given = docs.select("doc_id", host_of().alias("host"), F.xxhash64(text_of()).alias("text_hash"), text_bytes().alias("data"))
+    stats = map_rows(given, _stat_rows, STATS)
+    lost = materialize(removed_lines(docs, min_docs, share), "lost")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     depleted = F.coalesce(F.col("removed_words") > 0, F.lit(False)) & ((left < MIN_WORDS) | (left < MIN_SHARE * F.col("n_words")))
-    return join_null_safe(stats, lost, "doc_id", "left").withColumn("base_failed", base).withColumn("kept", ~base & ~depleted).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = stats.join(lost, ["host", "text_hash"], "left")
+    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
 
 
-def removed(docs: DataFrame, min_docs: int = FEW_DOCS, share: float = LINE_SHARE) -> DataFrame:
+def removed(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """One row: lines (a host's each) that are boilerplate, documents and words that lose them, documents depleted by it."""
-    lines = common_lines(line_table(docs), min_docs, share).agg(F.count("*").alias("lines"))
+    lines = common_lines(text_table(docs), min_docs, share).agg(F.count("*").alias("lines"))
     hit = F.col("removed_words") > 0
     rows = quality(docs, min_docs, share).agg(F.count_if(hit).alias("docs"), F.coalesce(F.sum("removed_words"), F.lit(0)).alias("words"), F.count_if(hit & ~F.col("kept") & ~F.col("base_failed")).alias("depleted"))
     return lines.crossJoin(rows)
 
 
-def clean(docs: DataFrame, min_docs: int = FEW_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """The documents that pass, without their boilerplate lines; the columns of the input, ``n_chars`` follows the text."""
-    found = quality(docs, min_docs, share).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.first("removed").alias("_removed"))
-    out = join_null_safe(docs, found.filter("_kept").select("doc_id", "_removed"), "doc_id")
-    line = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("_removed"), F.xxhash64(normal_line(x))))
+def clean(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """The documents that pass, without their boilerplate lines; the columns of the input, ``n_chars`` follows the text.
+
+    Only the texts that are rejected or lose lines are joined back, by host and text.
+    """
+    found = quality(docs, min_docs, share).filter(~F.col("kept") | F.col("removed").isNotNull())
+    found = materialize(found.groupBy("host", "text_hash").agg(F.first("kept").alias("_kept"), F.first("removed").alias("_removed")), "verdicts")
+    found = found.select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_kept", "_removed")
+    out = docs.join(found, (host_of() == F.col("_host")) & (F.xxhash64(text_of()) == F.col("_hash")), "left").filter(F.coalesce("_kept", F.lit(True)))
+    line = F.filter(F.split(text_of(), "\n", -1), lambda x: ~F.array_contains(F.col("_removed"), F.xxhash64(normal_line(x))))
     whole = F.col("_removed").isNull()
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(line, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    out = out.withColumn("_text", F.when(whole, F.col("text")).otherwise(F.array_join(line, "\n")))
+    n = [F.when(whole, F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")] if "n_chars" in docs.columns else []
+    given = {"text": F.col("_text").alias("text"), **({"n_chars": n[0]} if n else {})}
+    return out.select(*(given.get(c, F.col(c)) for c in docs.columns))

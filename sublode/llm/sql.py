@@ -17,15 +17,15 @@ _WORDS = r"regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')"
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
-w AS (SELECT doc_id, t, {_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM d),
+w AS (SELECT doc_id, source, t, {_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM d),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
-l AS (SELECT DISTINCT doc_id, source, t, trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '{_SPACE}+', ' ', 'g')) AS line FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d)),
-f AS (SELECT source, line, count(DISTINCT t) AS n FROM l WHERE line <> '' GROUP BY source, line), h AS (SELECT source, count(DISTINCT t) AS n FROM l WHERE line <> '' GROUP BY source),
-lost AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 100 AND f.n > h.n * 0.005 GROUP BY l.doc_id),
-s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+l AS (SELECT source, t, line FROM (SELECT source, t, trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '{_SPACE}+', ' ', 'g')) AS line FROM (SELECT source, t, unnest(string_split(t, chr(10))) AS x FROM (SELECT DISTINCT source, t FROM d))) WHERE line <> ''),
+f AS (SELECT source, line, count(DISTINCT t) AS n FROM l GROUP BY source, line), h AS (SELECT source, count(DISTINCT t) AS n FROM l GROUP BY source),
+lost AS (SELECT l.source, l.t, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 5 AND f.n > h.n * 0.05 GROUP BY l.source, l.t),
+s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost ON w.source IS NOT DISTINCT FROM lost.source AND w.t = lost.t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.1 * n_words)) AS kept, removed_words FROM s
 """
