@@ -8,8 +8,8 @@ _DIGIT = f"substr('{BASE32}', (v >> {{}}) % 32 + 1, 1)"
 _B32 = "array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS BIGINT)), lambda v: " + " || ".join(_DIGIT.format(s) for s in (15, 10, 5, 0)) + "), '')"
 
 OP5 = f"""
-WITH w AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m, sha1(coalesce(html, '')) AS x FROM pages)
-SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM w
+WITH w AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m, sha1(coalesce(html, '')) AS x, row_number() OVER (PARTITION BY coalesce(html, ''), page_id ORDER BY url) AS k FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = m AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m OR k > 1 THEN m END AS refers_to FROM w
 """
 
 _SPACE = r"[ \t\n\x0B\f\r]"

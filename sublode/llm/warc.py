@@ -7,7 +7,8 @@ as a response; the others are revisit records that refer to it and keep its HTTP
 
 Defined edge cases: a null payload is empty and equal to every other empty one; a null url becomes an empty target; a
 null ``page_id`` is written without an id and never stands as the response of others that have one; rows that repeat
-a ``page_id`` and payload give one response and revisits of it; an empty table gives no file and no row.
+a ``page_id`` and payload give one response and revisits of it; an empty table gives no file and no row; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, read_stream, ship, write_once
@@ -96,11 +97,16 @@ def read_records(stream, chunk: int = 1 << 16):
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
-    """_page, _digest (the key of a page) and _refers, the page that has the same payload, of the pages that are revisits."""
+    """What is to be known of pages whose payload occurs again: _page, _digest of the page, _refers and _one.
+
+    ``_refers`` is the page that has the payload; where several rows have that very page_id, ``_one`` says that one of
+    them is the response and the others refer to it.
+    """
     keys = materialize(pages.select("page_id", "_digest", "_size"), "payloads").filter(F.col("_size") >= min_bytes)
-    best = keys.groupBy("_digest").agg(F.max("page_id").alias("_refers"), F.count("*").alias("n")).filter("n > 1 AND _refers IS NOT NULL").drop("n")
-    pairs = keys.join(best, "_digest").filter(~F.col("page_id").eqNullSafe(F.col("_refers")))
-    return pairs.select(F.col("page_id").alias("_page"), F.col("_digest").alias("_of"), "_refers").distinct()
+    times = keys.groupBy("_digest", "page_id").agg(F.count("*").alias("times"))
+    best = times.groupBy("_digest").agg(F.max("page_id").alias("_refers"), F.sum("times").alias("n")).filter("n > 1 AND _refers IS NOT NULL").drop("n")
+    pairs = times.join(best, "_digest").withColumn("_one", F.col("page_id").eqNullSafe(F.col("_refers"))).filter("NOT _one OR times > 1")
+    return pairs.select(F.col("page_id").alias("_page"), F.col("_digest").alias("_of"), "_refers", "_one")
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -158,8 +164,13 @@ def roundtrip(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_DE
     ship(spark)
     path = path or new_path(spark, "warc")
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha2(data, 256).alias("_digest"), F.length(data).alias("_size"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", F.sha2(data, 256).alias("_digest"), F.length(data).alias("_size"))
     again = materialize(revisits(rows, min_bytes), "revisits")
     match = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("_of"))
-    files = materialize(write_archives(rows.join(again, match, "left"), path), "archives")
+    joined = rows.join(again, match, "left")
+    if not again.filter("_one").isEmpty():  # rows that repeat the response's page_id are numbered, the first is the response
+        first = F.row_number().over(Window.partitionBy("_page", "_digest").orderBy("url")) == 1
+        repeated = joined.filter("_one").withColumn("_refers", F.when(~first, F.col("_refers")))
+        joined = joined.filter(~F.coalesce("_one", F.lit(False))).unionByName(repeated)
+    files = materialize(write_archives(joined, path), "archives")
     return read_archives(files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
