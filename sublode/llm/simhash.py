@@ -10,8 +10,9 @@ distinct before they are indexed, so copies cost nothing, and each task returns
 the links.
 
 Defined edge cases: a null or wordless text has fingerprint zero and links like any other; texts under three words are
-one shingle; rows that repeat a ``doc_id`` are equal nodes; a null ``doc_id`` has a fingerprint and, unless another
-document shares its component, a null component; an empty table gives no rows; other columns are ignored.
+one shingle; rows that repeat a ``doc_id`` have a fingerprint each; a null ``doc_id`` has a fingerprint and links like
+any other, and its component is null only if no member has a doc_id; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -243,21 +244,23 @@ def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS,
                 if len(far):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[own][root[far]]), pa.array(rep[own][far])], ["a", "b"])
 
-        held: list = []
+        ready, held, size, last = [], [], 0, None  # whole upper nodes, and the batches of the one not ended
         for batch in batches:
-            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), *(np.asarray(c) for c in batch.columns[3:])])
-            if sum(len(x[0]) for x in held) < 50_000:
+            cols = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), *(np.asarray(c) for c in batch.columns[3:])]
+            if not len(cols[0]):
                 continue
-            cols = [np.concatenate(x) for x in zip(*held)]
-            edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            new = np.concatenate([[last is not None and last != (cols[0][0], cols[1][0])], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+            edge, last = np.flatnonzero(new), (cols[0][-1], cols[1][-1])
             if len(edge):
-                cut = edge[-1] + 1
-                yield from solve(*(c[:cut] for c in cols))
-                held = [[c[cut:] for c in cols]]
+                ready, held = ready + held + [[c[: edge[-1]] for c in cols]], [[c[edge[-1] :] for c in cols]]
             else:
-                held = [cols]
-        if held:
-            yield from solve(*(np.concatenate(x) for x in zip(*held)))
+                held.append(cols)
+            size += len(cols[0])
+            if ready and size >= 50_000:
+                yield from solve(*(np.concatenate(x) for x in zip(*ready)))
+                ready, size = [], 0
+        if ready or held:
+            yield from solve(*(np.concatenate(x) for x in zip(*ready, *held)))
 
     dealt = rows.select(*names).repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "kind", "head")
     return dealt.sortWithinPartitions("kind", "head", "gray").mapInArrow(run, "a long, b long")
@@ -268,11 +271,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_diff: int = MAX
     if not 0 <= max_diff <= 2:
         raise ValueError("the index finds links of at most 2 differing bits")
     marks = materialize(fingerprints(docs, shingle), "fingerprints")
-    reps = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    links = materialize(index_links(index_rows(reps.filter("rep IS NOT NULL")), max_diff).distinct(), "links")
-    found = connected(links)
-    of = join_null_safe(reps, found, "rep", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    reps = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "representatives")
+    links = materialize(index_links(index_rows(reps.select("fp", F.col("fp").alias("rep"))), max_diff).distinct(), "links")
+    node = reps.join(connected(links).withColumnRenamed("rep", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("node"))
+    node = materialize(node, "nodes")
+    of = node.join(node.groupBy("node").agg(F.min("least").alias("component_id")), "node").select("fp", "component_id")
+    return marks.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp):
