@@ -277,5 +277,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Only the digests of contaminated texts are written and joined back, each row being judged on its own text; texts
     are not shuffled while that table is small enough for Spark to broadcast it.
     """
-    bad = materialize(decontaminate(docs, benchmark).filter(F.size("items") > 0).select(F.hex("digest").alias("_digest")).distinct(), "contaminated")
-    return docs.join(bad, F.upper(F.md5(text_bytes())) == F.col("_digest"), "left_anti")
+    bad = materialize(decontaminate(docs, benchmark).filter(F.size("items") > 0).select(F.hex("digest").alias("digest")).distinct(), "contaminated")
+    return docs.join(bad.alias("_found"), F.upper(F.md5(text_bytes())) == F.col("_found.digest"), "left_anti")

@@ -1,17 +1,20 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Four base patterns give the seed spans. Words beside a seed are its lexical patterns: the word before, the word after,
-and both. Seeds, and other tokens with a digit or an at-sign ("candidates"), are instances; with their patterns they
-form a bipartite graph. In each round a pattern's confidence for a kind is the share of its instances that belong to
-the kind so far, and a candidate's is the noisy-or of its high-confidence patterns. Candidates above the threshold are
-spans of that kind beside the base ones.
+Four base patterns give the seed spans; opaque strings of ``OPAQUE`` hexadecimal digits or more, or of as many letters
+and digits with both in them, are the seeds of a fifth kind, secrets, and no spans by themselves. Words beside an
+instance are its lexical patterns: the word before with the marks between, the word after, and both. Seeds, and other
+tokens with a digit or an at-sign ("candidates"), are instances; with their patterns they form a bipartite graph. In
+each round a pattern's confidence for a kind is the share of its instances that belong to the kind so far, and an
+instance's is the noisy-or of its high-confidence patterns. Candidates and secret seeds above the threshold are spans of
+that kind beside the base ones, so a secret is one by its context.
 
 Positions come from the pieces between matches: a match ends where the pieces and matches up to it do. That running sum
 is a window over one document's matches, so it is linear in them; texts themselves are never shuffled.
 
 Defined edge cases: a null text is empty and has no span; a null ``doc_id`` is kept; rows that repeat a ``doc_id`` are
 judged each on its own text; words beside a span count up to 64 characters; spans that the method adds never overlap
-base spans; other columns are ignored.
+base spans; instances are compared in lower case, but spans count the text's own code points; other columns, whatever
+their names, are ignored and pass through ``redact``.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the method adds may be a secret too.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 _SPACE = r"\x20\x09-\x0D"
 #: Each matches what the plain pattern matches, from left to right, without trying the same run twice.
@@ -34,12 +39,18 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
     rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+",
 )
-CANDIDATE = len(KINDS)
+SECRET, CANDIDATE = len(KINDS), len(KINDS) + 1
+#: Characters from which a string of letters and digits is opaque.
+OPAQUE = 32
 ROUNDS = 3
+#: A pattern speaks for a kind when so many distinct instances of it, and such a share of all the pattern's, are of the kind.
 MIN_SEEDS = 3
 PATTERN_CONFIDENCE = 0.8
 INSTANCE_CONFIDENCE = 0.9
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: What is trimmed off a candidate's ends, and what is opaque.
+_HEAD, _TAIL = r"^[^\p{L}\p{N}@+_-]+", r"[^\p{L}\p{N}@+_=\]-]+$"
+_OPAQUE = rf"^(?:[0-9a-fA-F]{{{OPAQUE},}}|(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{{{OPAQUE},}}=*)$"
 #: A character that a text must hold for a pattern to match at all.
 _NEEDS = ("@", "[0-9]", "[0-9]", r"\+", "[0-9@]")
 
@@ -50,6 +61,13 @@ def _word(piece: Column, last: bool) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
+def _before(piece: Column) -> Column:
+    """The last word before a match, with the marks that stand between, or the bare word."""
+    near = F.right(piece, F.lit(64))
+    found = F.regexp_extract(near, rf"([\p{{L}}\p{{N}}]+)([^\p{{L}}\p{{N}}]*)$", 0)
+    return F.lower(F.rtrim(F.regexp_replace(found, rf"[{_SPACE}]+", " ")))
+
+
 def _valid(kind: int, m: Column) -> Column:
     if kind == 1:
         return m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
@@ -78,9 +96,17 @@ def matches(docs: DataFrame) -> DataFrame:
         def of(m: Column, i: Column) -> Column:
             before, after = F.get(F.col(f"p{k}"), i), F.get(F.col(f"p{k}"), i + 1)
             valid = _valid(k, m)
+            # a candidate is trimmed: marks at its ends belong to the words beside it
+            head, kind = (F.length(F.regexp_extract(m, _HEAD, 0)), F.lit(k)) if k >= len(KINDS) else (F.lit(0), F.lit(k))
+            own = F.regexp_replace(F.regexp_replace(m, _HEAD, ""), _TAIL, "") if k >= len(KINDS) else m
+            if k >= len(KINDS):
+                kind = F.when(own.rlike(_OPAQUE), SECRET).otherwise(CANDIDATE)
+            left = _before(F.concat(before, F.left(m, head))) if k >= len(KINDS) else _before(before)
+            right = _word(F.concat(F.substring(m, head + F.length(own) + 1, F.length(m)), after), False) if k >= len(KINDS) else _word(after, False)
             return F.struct(
-                F.lit(k).alias("kind"), i.alias("i"), (F.length(before) + F.length(m)).cast("long").alias("step"), F.length(m).cast("long").alias("size"),
-                valid.alias("valid"), F.when(valid, m).alias("instance"), F.when(valid, _word(before, True)).alias("left"), F.when(valid, _word(after, False)).alias("right"),
+                kind.alias("kind"), F.lit(k).alias("pattern"), i.alias("i"), (F.length(before) + F.length(m)).cast("long").alias("step"), F.length(m).cast("long").alias("size"),
+                valid.alias("valid"), head.cast("long").alias("head"), F.length(own).cast("long").alias("own"), F.when(valid, F.lower(own)).alias("instance"),
+                F.when(valid, left).alias("left"), F.when(valid, right).alias("right"),
             )
 
         return of
@@ -92,38 +118,40 @@ def matches(docs: DataFrame) -> DataFrame:
 def occurrences(table: DataFrame) -> DataFrame:
     """row, kind, start, end, instance, left, right of the valid base spans and of candidates that touch none of them."""
     flat = table.select("row", F.inline("found"))
-    order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    flat = flat.withColumn("end", F.sum("step").over(order)).withColumn("start", F.col("end") - F.col("size")).filter("valid")
+    order = Window.partitionBy("row", "pattern").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("start", F.sum("step").over(order) - F.col("size") + F.col("head")).withColumn("end", F.col("start") + F.col("own")).filter("valid AND own > 0")
     place = Window.partitionBy("row").orderBy("start", "kind")
-    base = F.col("kind") < CANDIDATE
+    base = F.col("kind") < SECRET
     before = F.max(F.when(base, F.col("end"))).over(place.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(place.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after >= F.col("end"), F.lit(True)))
-    flat = flat.withColumn("free", free).filter(base | F.col("free"))
-    return flat.select("row", "kind", "start", "end", F.lower(F.regexp_replace("instance", r"[.,;:!?)\]}'\"]+$", "")).alias("instance"), "left", "right")
+    return flat.withColumn("free", free).filter(base | F.col("free")).select("row", "kind", "start", "end", "instance", "left", "right")
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """instance, kind of the candidates that high-confidence patterns speak for.
+    """instance, found_kind of the candidates and secret seeds that high-confidence patterns speak for.
 
     The graph's edges are distinct (instance, pattern) pairs; both sides are reduced by partial aggregates.
     """
+    every = range(len(ALL_KINDS))
     left, right = F.nullif(F.col("left"), F.lit("")), F.nullif(F.col("right"), F.lit(""))
     names = F.filter(F.array(F.concat(F.lit("L "), left), F.concat(F.lit("R "), right), F.concat(F.lit("B "), left, F.lit(" "), right)), lambda x: x.isNotNull())
     edges = materialize(found.select("instance", "kind", F.explode(names).alias("pattern")).filter("instance <> ''").distinct(), "edges")
     seeds = edges.filter(F.col("kind") < CANDIDATE)
+    known = seeds.select("pattern", *((F.col("kind") == k).cast("double").alias(f"w{k}") for k in every), F.lit(1).alias("seed"))
     open_ = edges.filter(F.col("kind") == CANDIDATE).drop("kind")
-    weights = open_.select("instance").distinct().select("instance", *(F.lit(0.0).alias(f"w{k}") for k in range(CANDIDATE)))
+    weights = open_.select("instance").distinct().select("instance", *(F.lit(0.0).alias(f"w{k}") for k in every))
+    judged = edges.filter(F.col("kind") >= SECRET).drop("kind")
     for _ in range(rounds):
-        known = seeds.select("pattern", *((F.col("kind") == k).cast("double").alias(f"w{k}") for k in range(CANDIDATE)), F.lit(1).alias("seed"))
-        guessed = open_.join(weights, "instance").select("pattern", *(f"w{k}" for k in range(CANDIDATE)), F.lit(0).alias("seed"))
-        sums = known.unionByName(guessed).groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(CANDIDATE)))
+        guessed = open_.join(weights, "instance", "left").select("pattern", *(F.coalesce(f"w{k}", F.lit(0.0)).alias(f"w{k}") for k in every), F.lit(0).alias("seed"))
+        sums = known.unionByName(guessed).groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"), *(F.sum(f"w{k}").alias(f"w{k}") for k in every))
         sure = lambda k: F.when((F.col("seeds") >= MIN_SEEDS) & (F.col(f"w{k}") / (F.col("n") + 1) >= PATTERN_CONFIDENCE), F.col(f"w{k}") / (F.col("n") + 1)).otherwise(0.0)
-        strong = sums.select("pattern", *(sure(k).alias(f"c{k}") for k in range(CANDIDATE))).filter(reduce(lambda a, b: a | b, (F.col(f"c{k}") > 0 for k in range(CANDIDATE))))
-        grown = open_.join(strong, "pattern").groupBy("instance").agg(*((1 - F.exp(F.sum(F.log(1 - F.col(f"c{k}"))))).alias(f"w{k}") for k in range(CANDIDATE)))
+        strong = sums.select("pattern", *(sure(k).alias(f"c{k}") for k in every)).filter(reduce(lambda a, b: a | b, (F.col(f"c{k}") > 0 for k in every)))
+        strong = materialize(strong, "patterns")
+        grown = judged.join(strong, "pattern").groupBy("instance").agg(*((1 - F.exp(F.sum(F.log(1 - F.col(f"c{k}"))))).alias(f"w{k}") for k in every))
         weights = materialize(grown, "weights")
-    top = F.greatest(*(F.col(f"w{k}") for k in range(CANDIDATE)))
-    kind = F.coalesce(*(F.when(F.col(f"w{k}") == top, F.lit(k)) for k in range(CANDIDATE)))
+    top = F.greatest(*(F.col(f"w{k}") for k in every))
+    kind = F.coalesce(*(F.when(F.col(f"w{k}") == top, F.lit(k)) for k in every))
     return weights.filter(top >= INSTANCE_CONFIDENCE).select("instance", kind.alias("found_kind"))
 
 
@@ -131,9 +159,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table of rows (row, doc_id, text_key), and their spans (row, kind, start, end, base)."""
     table = materialize(matches(docs), "matches")
     found = materialize(occurrences(table), "occurrences")
-    more = found.filter(F.col("kind") == CANDIDATE).join(discover(found), "instance")
-    more = more.select("row", F.col("found_kind").alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end"), F.lit(False).alias("base"))
-    base = found.filter(F.col("kind") < CANDIDATE).select("row", "kind", "start", "end", F.lit(True).alias("base"))
+    more = found.filter(F.col("kind") >= SECRET).join(discover(found), "instance")
+    more = more.select("row", F.col("found_kind").alias("kind"), "start", "end", F.lit(False).alias("base"))
+    base = found.filter(F.col("kind") < SECRET).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     return table.select("row", "doc_id", "text_key"), base.unionByName(more)
 
 
@@ -147,7 +175,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def span_text(found: Column) -> Column:
     """kind:start:end of spans in order, comma-joined."""
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    name = lambda k: F.element_at(F.array(*map(F.lit, ALL_KINDS)), k + 1)
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -160,15 +188,14 @@ def redact(docs: DataFrame) -> DataFrame:
     one = one.groupBy("row", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
     one = one.withColumn("from", F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0)))
     each = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias("_cuts"))
-    keys = rows.join(each, "row").groupBy("doc_id", "text_key").agg(F.first("_cuts").alias("_cuts")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_cuts")
-    text, cuts = F.col("text"), F.col("_cuts")
-    name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
+    keys = materialize(rows.join(each, "row").groupBy("doc_id", "text_key").agg(F.first("_cuts").alias("cuts")), "cuts")
+    given, text, cuts = docs.alias("_given"), F.col("_given.text").cast("string"), F.col("_found.cuts")
+    name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in ALL_KINDS)), k + 1)
     part = F.transform(cuts, lambda c: F.concat(F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), name(c["kind"])))
     tail = F.substring(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
-    match = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    out = docs.join(keys, match, "left")
-    clear = cuts.isNull()
-    out = out.withColumn("text", F.when(clear, text).otherwise(F.concat(F.array_join(part, ""), tail)))
+    match = F.col("_given.doc_id").eqNullSafe(F.col("_found.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_found.text_key"))
+    changed = F.concat(F.array_join(part, ""), tail)
+    new = {"text": F.when(cuts.isNull(), F.col("_given.text")).otherwise(changed).alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(clear, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(cuts.isNull(), F.col("_given.n_chars")).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return given.join(keys.alias("_found"), match, "left").select(*(new.get(c, F.col(f"_given.`{c}`")) for c in docs.columns))

@@ -139,11 +139,12 @@ def clean(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SH
     """
     found = quality(docs, min_docs, share).filter(~F.col("kept") | F.col("removed").isNotNull())
     found = materialize(found.groupBy("host", "text_hash").agg(F.first("kept").alias("_kept"), F.first("removed").alias("_removed")), "verdicts")
-    found = found.select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_kept", "_removed")
-    out = docs.join(found, (host_of() == F.col("_host")) & (F.xxhash64(text_of()) == F.col("_hash")), "left").filter(F.coalesce("_kept", F.lit(True)))
-    line = F.filter(F.split(text_of(), "\n", -1), lambda x: ~F.array_contains(F.col("_removed"), F.xxhash64(normal_line(x))))
-    whole = F.col("_removed").isNull()
-    out = out.withColumn("_text", F.when(whole, F.col("text")).otherwise(F.array_join(line, "\n")))
-    n = [F.when(whole, F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")] if "n_chars" in docs.columns else []
-    given = {"text": F.col("_text").alias("text"), **({"n_chars": n[0]} if n else {})}
-    return out.select(*(given.get(c, F.col(c)) for c in docs.columns))
+    given, gone = docs.alias("_given"), F.col("_found._removed")
+    match = (host_of() == F.col("_found.host")) & (F.xxhash64(text_of()) == F.col("_found.text_hash"))
+    out = given.join(found.alias("_found"), match, "left")
+    line = F.filter(F.split(text_of(), "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x))))
+    changed = F.array_join(line, "\n")
+    new = {"text": F.when(gone.isNull(), F.col("_given.text")).otherwise(changed).alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(gone.isNull(), F.col("_given.n_chars")).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return out.filter(F.coalesce(F.col("_found._kept"), F.lit(True))).select(*(new.get(c, F.col(f"_given.`{c}`")) for c in docs.columns))

@@ -45,7 +45,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, F.lit(k))).cast("long") for k in range(len(KINDS))]
     counts = [(F.size(kinds) - n).alias(f"n_{name}") for n, name in zip(counts, KINDS)]
-    return out.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
