@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, fit, score
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = lambda: F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     out = score(docs, fit(docs, labels.filter(~held())))
     return out.select("doc_id", held().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours")
 

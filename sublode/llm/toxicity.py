@@ -1,16 +1,24 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Features are lower-cased words and the first four, five and six characters of longer words. A bounded sample of labelled rows
-(``MAX_PER_CLASS`` of each label, in the order of a hash) gives the examples; features that speak for the label by a
-chi-squared test become the vocabulary, at most ``MAX_FEATURES``. Document frequencies of the vocabulary are counted
-over all documents. The index keeps, for each feature and each block of examples, the largest weight: a query adds up
-the blocks' bounds, opens blocks from the highest bound on, and stops when no bound can reach the k-th best example, so
-the neighbours are exact. Neighbours vote with their cosine, times what their class counts for in the labelled rows.
-The share of toxic votes is calibrated by a logistic curve fitted to the examples, each scored without itself.
+Features are lower-cased words and the first four, five and six characters of longer words; every feature of every
+example is indexed. Examples are a bounded sample of labelled rows (``MAX_PER_CLASS`` of each label, in the order of a
+hash), whole texts of both labels. A weight is (1 + log tf) * idf * rf: document frequencies are counted over all
+documents, and rf, the relevance frequency log2(2 + share of toxic / share of other examples with the feature), is the
+supervised factor of tf.rf weighting, so that what marks the label is not drowned by a long text's other words.
+
+The index has posting lists for rare features and, for each block of like examples, the largest weight of each frequent
+one. A batch of texts is scored over the rare features first; block maxima of the frequent ones give every block's
+bound, blocks are opened from the highest bound on, and a block whose bound cannot reach a text's k-th best example is
+not opened for it: the neighbours are exact. They vote with their cosine, times what their class counts for in the
+labelled rows. The share of toxic votes is calibrated by a logistic curve fitted to the examples, each scored without
+itself.
 
 Defined edge cases: a null or wordless text has no features and gets the score of no evidence; labels that repeat a
-doc_id count as toxic if any does; null labels are left out; without examples of both labels every score is the share
-of toxic labels (0 without any); ties among neighbours go to the earlier example; other columns are ignored.
+doc_id count as toxic if any does; null labels and labels without doc_id are left out; a labelled doc_id that repeats in
+the documents gives one example, the row of the smallest text hash; without examples of both labels every score is the
+share of toxic labels (0 without any); equal cosines go to the example that stands earlier by content, so ids play no
+part in a score; rows that repeat a doc_id, or have none, are scored each; very long texts are taken whole; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,17 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, ship, text_bytes
 
-MAX_PER_CLASS = 3000
-MAX_FEATURES = 4000
-#: A feature needs so many toxic examples, such a share of them, such a lift over the others, and such a chi-squared.
-MIN_EXAMPLES = 3
-MIN_SHARE = 0.025
-MIN_LIFT = 4.0
-MIN_CHI2 = 30.0
+#: The bound of the sample: labelled rows of each label that become examples.
+MAX_PER_CLASS = 1000
 #: Lengths of the beginnings of longer words that are features too.
 BEGINNINGS = (4, 5, 6)
 K = 15
 BLOCK = 64
+#: Features on more than this share of the examples are kept as block columns, others as posting lists.
+FREQUENT = 0.05
+#: More than single precision can err by in a cosine.
+SLACK = 1e-4
+#: Texts that are searched together, and words whose features a worker remembers.
+QUERIES = 64
+CACHE_WORDS = 300_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -50,91 +61,173 @@ def features(text: str) -> Counter:
     return out
 
 
+class _Known(dict):
+    """The feature numbers of words: the word's own and those of its beginnings, where the vocabulary has them."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, w: str) -> list[int]:
+        get = self.number.get
+        found = [get(w, -1), *(get(w[:k] + "*", -1) for k in BEGINNINGS if len(w) > k)]
+        self[w] = found = [i for i in found if i >= 0]
+        return found
+
+
+class Counted:
+    """Feature numbers and counts of texts over a fixed vocabulary."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.known = number, _Known(number)
+
+    def present(self, text: str) -> np.ndarray:
+        """The feature numbers of a text, each once."""
+        if len(self.known) >= CACHE_WORDS:
+            self.known = _Known(self.number)
+        found = set(chain.from_iterable(map(self.known.__getitem__, set(_WORD.findall(text.lower())))))
+        return np.fromiter(found, np.int64, len(found))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) >= CACHE_WORDS:
+            self.known = _Known(self.number)
+        words = Counter(_WORD.findall(text.lower()))
+        lists = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        ids, where = np.unique(flat, return_inverse=True)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+        return ids, np.bincount(where, times, len(ids)).astype(np.int64)
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples as posting lists with the largest weight of each block of examples."""
+    """Unit vectors of examples: posting lists of rare features, block columns and block maxima of frequent ones."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_features: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_features: int, block: int = BLOCK, frequent: float = FREQUENT):
         self.n, self.block, self.n_blocks = len(vectors), block, -(-len(vectors) // block)
-        rows = sorted((t, d, w) for d, v in enumerate(vectors) for t, w in v.items())
-        term = np.array([r[0] for r in rows], np.int64)
-        self.docs = np.array([r[1] for r in rows], np.int64)
-        self.weights = np.array([r[2] for r in rows], np.float64)
-        edges = np.arange(n_features)[:, None] * self.n_blocks + np.arange(self.n_blocks)
-        self.at = np.append(np.searchsorted(term * self.n_blocks + self.docs // block, edges.ravel()), len(rows)).astype(np.int64)
-        self.bounds = np.zeros((n_features, self.n_blocks))
-        np.maximum.at(self.bounds, (term, self.docs // block), self.weights)
-
-    def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest positive cosine, best first; exact."""
-        terms = np.fromiter(query, np.int64, len(query))
-        weights = np.fromiter(query.values(), np.float64, len(query))
-        bound = weights @ self.bounds[terms]
-        best_docs, best, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < least - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                i, j = self.at[t * self.n_blocks + b], self.at[t * self.n_blocks + b + 1]
-                if j > i:
-                    scores[self.docs[i:j] - b * self.block] += w * self.weights[i:j]
-            found = np.flatnonzero(scores > 0)
-            found = found[found + b * self.block != without]
-            docs, sims = np.concatenate([best_docs, found + b * self.block]), np.concatenate([best, scores[found]])
-            order = np.lexsort((docs, -sims))[:k]
-            best_docs, best = docs[order], sims[order]
-            least = best[-1] if len(best) >= k else 0.0
-        return best_docs, best
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        sizes = np.bincount(term, minlength=n_features)
+        common = np.flatnonzero(sizes > frequent * self.n)
+        self.column = np.full(n_features, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        wide = self.column[term] >= 0
+        self.dense = np.zeros((self.n_blocks * block, len(common)))
+        self.dense[doc[wide], self.column[term[wide]]] = weight[wide]
+        self.short = self.dense.astype(np.float32)  # finds the candidates, which are then scored in full
+        self.maxima = self.short.reshape(self.n_blocks, block, len(common)).max(1) if self.n else self.short
+        order = np.argsort(term[~wide], kind="stable")
+        self.docs, self.weights = doc[~wide][order], weight[~wide][order]
+        self.at = np.append(0, np.cumsum(np.bincount(term[~wide], minlength=n_features)))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector the k examples of the highest positive cosine, best first; exact to nine decimals."""
+        m, n, width = len(queries), self.n, self.n_blocks * self.block
+        if not n or not m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        who = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        term, weight = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        column = self.column[term]
+        wide = column >= 0
+        dense = np.zeros((m, self.dense.shape[1]))
+        dense[who[wide], column[wide]] = weight[wide]
+        first, size = self.at[term[~wide]], np.diff(self.at)[term[~wide]]
+        entry = np.repeat(first - np.append(0, np.cumsum(size))[:-1], size) + np.arange(int(size.sum()))
+        scores = np.bincount(np.repeat(who[~wide], size) * width + self.docs[entry], self.weights[entry] * np.repeat(weight[~wide], size), m * width).reshape(m, width)
+        rare, close = scores.copy(), dense.astype(np.float32)
+        bound = scores.reshape(m, self.n_blocks, self.block).max(2) + close @ self.maxima.T
+        opened, least = np.zeros((m, self.n_blocks), bool), np.zeros(m)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        step = max(1, -(-k // self.block))  # enough blocks for k examples, then three times as many, then all that can still matter
+        for upto in (step, 3 * step, self.n_blocks):
+            open_ = np.zeros_like(opened)
+            np.put_along_axis(open_, order[:, :upto], True, 1)
+            open_ &= ~opened & (bound >= least[:, None] - SLACK) & (bound > 0)
+            for b in np.flatnonzero(open_.any(0)):
+                here, own = np.flatnonzero(open_[:, b]), slice(b * self.block, (b + 1) * self.block)
+                scores[here, own] += close[here] @ self.short[own].T
+            opened |= open_
+            seen = np.where(np.repeat(opened, self.block, 1), scores, 0.0)
+            if without is not None:
+                seen[np.arange(m), without] = 0.0
+            if width > k:
+                least = np.partition(seen, width - k, axis=1)[:, width - k]
+        out = []
+        for row, low, exact, q in zip(seen, least, rare, dense):
+            found = np.flatnonzero((row > 0) & (row >= low - SLACK))
+            sims = np.round(exact[found] + (self.dense[found] * q).sum(1), 9)
+            best = np.lexsort((found, -sims))[:k]
+            best = best[sims[best] > 0]
+            out.append((found[best], sims[best]))
+        return out
 
 
 class Model:
-    """Vocabulary, idf, examples and calibration; small and of bounded size, so it can be broadcast."""
-
-    def __init__(self, vocabulary: list[str], df: dict[str, int], n_docs: int, examples: list[tuple[int, int, dict[str, int]]], class_weight: tuple[float, float], prior: float, k: int = K):
-        self.number = {f: i for i, f in enumerate(vocabulary)}
-        self.idf = np.array([math.log((1 + n_docs) / (1 + df.get(f, 0))) + 1 for f in vocabulary])
-        self.prior, self.k, self.curve, self.index = prior, k, None, None
-        self.cache: dict = {}
-        if not vocabulary or len({y for _, y, _ in examples}) < 2:
+    """Vocabulary, weights, examples and calibration; of bounded size, so it can be broadcast. Workers build the index."""
+
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, class_weight: tuple[float, float], prior: float, k: int = K):
+        self.prior, self.k, self.curve, self.built = prior, k, None, None
+        names = sorted({f for _, _, x in examples for f in x})
+        self.number = {f: i for i, f in enumerate(names)}
+        total = [sum(y == v for _, y, _ in examples) for v in (0, 1)]
+        if not names or not all(total):
             return
-        vectors = [(d, y, self.vector(f)) for d, y, f in examples]
-        # examples that share their strongest feature stand together, which makes the blocks' bounds tight
-        vectors.sort(key=lambda x: (max(x[2], key=x[2].get) if x[2] else -1, x[0]))
-        self.ids = np.array([d for d, _, _ in vectors], np.int64)
-        self.labels = np.array([y for _, y, _ in vectors], np.float64)
+        counts = np.zeros((2, len(names)))
+        rows = []
+        for doc_id, y, x in examples:
+            ids = np.array([self.number[f] for f in sorted(x)], np.int64)
+            rows.append((doc_id, y, ids, np.array([x[f] for f in sorted(x)], np.int64)))
+            counts[y, ids] += 1
+        idf = np.array([math.log((1 + n_docs) / (1 + df.get(f, 0))) for f in names])
+        rf = np.log2(2 + (counts[1] / total[1]) / (np.maximum(counts[0], 1) / total[0]))
+        self.weights = np.maximum(idf, 0) * rf
+        vectors = [(d, y, *self.vector(t, c)) for d, y, t, c in rows]
+        # examples that share their strongest frequent feature stand together, which makes the blocks' bounds tight
+        often = np.bincount(np.concatenate([v[2] for v in vectors]), minlength=len(names)) > FREQUENT * len(vectors)
+        strong = lambda t, w: int(t[np.argmax(np.where(often[t], w, 0))]) if len(t) else -1
+        vectors.sort(key=lambda v: (strong(v[2], v[3]), v[2].tobytes(), v[3].tobytes(), v[1], v[0]))
+        self.ids = np.array([v[0] for v in vectors], np.int64)
+        self.labels = np.array([v[1] for v in vectors], np.float64)
         self.weight = np.where(self.labels > 0, class_weight[1], class_weight[0])
-        self.index = BlockMaxIndex([v for _, _, v in vectors], len(vocabulary))
-        raw = np.array([self.share(*self.index.search(v, k, i)) if v else 0.0 for i, (_, _, v) in enumerate(vectors)])
+        self.vectors = [(v[2], v[3]) for v in vectors]
+        raw = np.concatenate([self.shares(self.vectors[i : i + QUERIES], np.arange(i, min(i + QUERIES, len(vectors)))) for i in range(0, len(vectors), QUERIES)])
         self.curve = fit_logistic(raw, self.labels, self.weight)
 
-    def vector(self, counts) -> dict[int, float]:
-        """The unit TF-IDF vector over the vocabulary; {} without a feature of it."""
-        number = self.number
-        found = {number[f]: n for f, n in counts.items() if f in number}
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(found.items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+    def __getstate__(self):
+        return {**self.__dict__, "built": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self.built is None:
+            self.built = BlockMaxIndex(self.vectors, len(self.number))
+        return self.built
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF vector over the vocabulary; empty without a feature of it."""
+        w = (1 + np.log(counts)) * self.weights[ids]
+        norm = math.sqrt(float((w * w).sum()))
+        return (ids, w / norm) if norm > 0 else (ids[:0], w[:0])
 
     def share(self, docs: np.ndarray, sims: np.ndarray) -> float:
         """The toxic share of the votes; the prior counts as one tenth of a vote."""
         votes = sims * self.weight[docs]
         return float(((votes * self.labels[docs]).sum() + 0.1 * self.prior) / (votes.sum() + 0.1))
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        """The calibrated score, and the neighbours' doc_ids with their cosines."""
+    def shares(self, vectors: list, without: np.ndarray | None = None) -> np.ndarray:
+        return np.array([self.share(*x) if len(v[0]) else 0.0 for x, v in zip(self.index.search(vectors, self.k, without), vectors)])
+
+    def score(self, texts: list[str], counted: Counted) -> list[tuple[float, list[int], list[float]]]:
+        """The calibrated score of each text, and the neighbours' doc_ids with their cosines."""
         if self.curve is None:
-            return self.prior, [], []
-        v = self.vector(features(text))
-        key = tuple(v.items())
-        got = self.cache.get(key)
-        if got is None:
-            docs, sims = self.index.search(v, self.k) if v else (np.zeros(0, np.int64), np.zeros(0))
-            raw = self.share(docs, sims) if v else 0.0
-            got = (float(1 / (1 + math.exp(-(self.curve[0] * raw + self.curve[1])))), self.ids[docs].tolist() if v else [], sims.tolist())
-            if len(self.cache) >= 50_000:
-                self.cache.clear()
-            self.cache[key] = got
-        return got
+            return [(self.prior, [], [])] * len(texts)
+        out = []
+        for i in range(0, len(texts), QUERIES):
+            vectors = [self.vector(*counted(t)) for t in texts[i : i + QUERIES]]
+            for (docs, sims), v in zip(self.index.search(vectors, self.k), vectors):
+                raw = self.share(docs, sims) if len(v[0]) else 0.0
+                out.append((float(1 / (1 + math.exp(-(self.curve[0] * raw + self.curve[1])))), self.ids[docs].tolist(), sims.tolist()))
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -153,14 +246,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, fl
     return float(a), float(b)
 
 
-def chi_squared(n1: int, n0: int, total1: int, total0: int) -> float:
-    n, c = total1 + total0, n1 + n0
-    bottom = total1 * total0 * c * (n - c)
-    return n * (n1 * (total0 - n0) - n0 * (total1 - n1)) ** 2 / bottom if bottom else 0.0
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """The model from the labelled rows; the sample, the vocabulary and its counts are all that comes to the driver."""
+    """The model from the labelled rows; the examples and their features' document frequencies are all that comes to the driver."""
     ship(docs.sparkSession)
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -174,55 +261,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
         return {"doc_id": c["doc_id"], "y": c["y"], "names": [list(x) for x in got], "counts": [list(x.values()) for x in got]}
 
     chosen = docs.select("doc_id", text_bytes().alias("data")).join(sample, F.col("doc_id") == F.col("_id")).drop("_id")
-    chosen = materialize(map_rows(chosen, rows, "doc_id long, y int, names array<string>, counts array<int>").dropDuplicates(["doc_id"]), "examples")
-    got = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
-    n1, n0 = got.get(1, 0), got.get(0, 0)
-    seen = chosen.select("y", F.explode("names").alias("f")).groupBy("f").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    seen = seen.filter((F.col("n1") >= max(MIN_EXAMPLES, MIN_SHARE * n1)) & (F.col("n1") * max(n0, 1) >= MIN_LIFT * F.col("n0") * max(n1, 1)))
-    n, c = n1 + n0, F.col("n1") + F.col("n0")
-    chi2 = F.try_divide(F.lit(float(n)) * F.pow(F.col("n1") * (n0 - F.col("n0")) - F.col("n0") * (n1 - F.col("n1")), 2), F.lit(float(n1) * n0) * c * (n - c))
-    vocabulary = [r["f"] for r in seen.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "f").limit(MAX_FEATURES).collect()]
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-
-    def keep(c: dict) -> dict:
-        cut = [[(f, k) for f, k in zip(a, b) if f in wanted.value] for a, b in zip(c["names"], c["counts"])]
-        return {"doc_id": c["doc_id"], "y": c["y"], "names": [[f for f, _ in x] for x in cut], "counts": [[k for _, k in x] for x in cut]}
-
-    examples = [(r["doc_id"], r["y"], dict(zip(r["names"], r["counts"]))) for r in map_rows(chosen, keep, "doc_id long, y int, names array<string>, counts array<int>").collect()]
-    df, n_docs = document_frequency(docs, vocabulary) if examples else ({}, 0)
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min_by("data", F.struct(F.xxhash64("data"), "data")).alias("data"))
+    chosen = materialize(map_rows(chosen, rows, "doc_id long, y int, names array<string>, counts array<int>"), "examples")
+    examples = [(r["doc_id"], r["y"], dict(zip(r["names"], r["counts"]))) for r in chosen.collect()]
+    got = Counter(y for _, y, _ in examples)
+    names = sorted({f for _, _, x in examples for f in x})
+    df, n_docs = document_frequency(docs, names) if examples else ({}, 0)
     weight = tuple((totals.get(y, 0) / got[y]) if got.get(y) else 1.0 for y in (0, 1))
-    return Model(vocabulary, df, n_docs, sorted(examples, key=lambda x: x[0]), (weight[0] / max(weight), weight[1] / max(weight)), prior)
+    return Model(examples, df, n_docs, (weight[0] / max(weight), weight[1] / max(weight)), prior)
 
 
-def document_frequency(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
-    """Documents with each feature of a bounded vocabulary, and all documents. Each task sums up before the shuffle."""
-    wanted = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(vocabulary)})
+def document_frequency(docs: DataFrame, names: list[str]) -> tuple[dict[str, int], int]:
+    """Documents with each of the examples' features, and all documents. Each task sums up before the shuffle."""
+    wanted = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def run(batches):
         import pyarrow as pa
 
-        sums, number = np.zeros(len(wanted.value) + 1, np.int64), wanted.value
+        counted, sums = Counted(wanted.value), np.zeros(len(wanted.value) + 1, np.int64)
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                words = set(_WORD.findall(b.decode("utf-8", "replace").lower()))
-                found = {number[w] for w in words if w in number}
-                found.update(number[p] for p in {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k} if p in number)
-                sums[list(found)] += 1
+                sums[counted.present(b.decode("utf-8", "replace"))] += 1
                 sums[-1] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["f", "n"])
 
     sums = docs.select(text_bytes().alias("data")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     n = {r["f"]: r["n"] for r in sums}
-    return {f: n.get(i, 0) for i, f in enumerate(vocabulary)}, n.get(len(vocabulary), 0)
+    return {f: n.get(i, 0) for i, f in enumerate(names)}, n.get(len(names), 0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, neighbours (doc_ids of examples, nearest first), cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    counters: list = []
 
     def rows(c: dict) -> dict:
-        got = [shared.value.score(b.decode("utf-8", "replace")) for b in c["data"]]
+        if not counters:
+            counters.append(Counted(shared.value.number))
+        got = shared.value.score([b.decode("utf-8", "replace") for b in c["data"]], counters[0])
         return {"doc_id": c["doc_id"], "score": [x[0] for x in got], "neighbours": [x[1] for x in got], "cosines": [x[2] for x in got]}
 
     ship(docs.sparkSession)
