@@ -134,7 +134,7 @@ class BlockMaxIndex:
         dense[who[wide], column[wide]] = weight[wide]
         first, size = self.at[term[~wide]], np.diff(self.at)[term[~wide]]
         entry = np.repeat(first - np.append(0, np.cumsum(size))[:-1], size) + np.arange(int(size.sum()))
-        scores = np.bincount(np.repeat(who[~wide], size) * width + self.docs[entry], self.weights[entry] * np.repeat(weight[~wide], size), m * width).reshape(m, width)
+        scores = np.bincount(np.repeat(who[~wide], size) * width + self.docs[entry], self.weights[entry] * np.repeat(weight[~wide], size), m * width).reshape(m, width).astype(np.float64)
         rare, close = scores.copy(), dense.astype(np.float32)
         bound = scores.reshape(m, self.n_blocks, self.block).max(2) + close @ self.maxima.T
         opened, least = np.zeros((m, self.n_blocks), bool), np.zeros(m)

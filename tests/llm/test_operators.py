@@ -166,12 +166,16 @@ def test_block_max_search_is_exact():
     rnd = random.Random(4)
     unit = lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
     vectors = [unit({t: rnd.random() + 0.1 for t in rnd.sample(range(50), rnd.randint(1, 6))}) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 50)
-    for _ in range(50):
-        q = unit({t: rnd.random() + 0.1 for t in rnd.sample(range(50), 4)})
-        sims = [(sum(w * v.get(t, 0) for t, w in q.items()), -i) for i, v in enumerate(vectors)]
-        want = sorted((s for s in sims if s[0] > 0), reverse=True)[:15]
-        assert [round(s, 9) for s in index.search(q, 15)[1]] == [round(s, 9) for s, _ in want]
+    arrays = lambda v: (np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)]))
+    for frequent in (0.0, 0.08, 1.0):  # all block columns, some, all posting lists
+        index = toxicity.BlockMaxIndex([arrays(v) for v in vectors], 50, frequent=frequent)
+        queries = [unit({t: rnd.random() + 0.1 for t in rnd.sample(range(50), 4)}) for _ in range(50)] + [{}]
+        for q, (docs, got) in zip(queries, index.search([arrays(q) if q else (np.zeros(0, np.int64), np.zeros(0)) for q in queries], 15)):
+            sims = [(round(sum(w * v.get(t, 0) for t, w in q.items()), 9), -i) for i, v in enumerate(vectors)]
+            want = sorted((s for s in sims if s[0] > 0), reverse=True)[:15]
+            assert [(round(s, 9), -i) for s, i in zip(got, docs)] == want
+        own = index.search([arrays(v) for v in vectors[:70]], 3, np.arange(70))
+        assert all(i not in docs for i, (docs, _) in enumerate(own))
 
 
 def test_bpe(docs, texts, empty):
@@ -285,12 +289,16 @@ def test_lm(docs, texts, empty):
 
 def test_attention_model():
     rng = np.random.default_rng(0)
-    model = lm.AttentionModel(np.ones(lm.IDS))
-    texts = [np.tile(rng.permutation(40), 6) for _ in range(6)]
-    model.set_classes(texts)
+    texts = [np.tile(rng.permutation(900)[:60] if k % 2 else np.arange(60), 6) for k in range(6)]
+    model = lm.AttentionModel(np.bincount(np.concatenate(texts), minlength=lm.IDS))
+    drawn = np.concatenate([np.lib.stride_tricks.sliding_window_view(t, lm.WINDOW + 1) for t in texts])
+    model.set_classes(drawn)
+    assert (np.bincount(model.group, minlength=lm.GROUPS) == np.diff(model.first)).all() and model.cls.max() < lm.CLASSES
+    share = np.bincount(model.cls, np.exp(model.log_share))
+    assert share[share > 0] == pytest.approx(1, rel=1e-4)  # an id's shares of its class add up to one
     rows, ids, use = model.windows(texts)
     loss, g = model.gradients(rows[:4], model.cls[ids[:4]], use[:4])
-    for name in ("E", "P", "Q", "K", "V", "O", "U", "b"):
+    for name in g:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         held, h = model.p[name][at], 1e-5
         model.p[name][at] = held + h
@@ -299,47 +307,59 @@ def test_attention_model():
         less = model.gradients(rows[:4], model.cls[ids[:4]], use[:4])[0]
         model.p[name][at] = held
         assert g[name][at] == pytest.approx((more - less) / (2 * h), rel=1e-3)
-    losses = model.train(texts, 60)
+    losses = model.fit(drawn, 60)
     assert losses[-1] < losses[0]
     flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-    v = model._forward(rows)["L"]
-    i, j = np.indices(ids.shape)
-    want = ((v[i, j, model.cls[ids]] + model.log_share[ids]) * use).sum() / math.log(10)
+    want = brute_scores(model, texts)
     assert use.sum() == len(flat)  # every id is scored once
     model.freeze()
-    assert model.score(flat, lengths).sum() == pytest.approx(want, rel=1e-4)
-
-
-def test_classes_and_chunks():
-    rng = np.random.default_rng(1)
-    texts = [rng.integers(0, 3000, 4000) for _ in range(12)]
-    model = lm.AttentionModel(np.bincount(np.concatenate(texts), minlength=lm.IDS))
-    model.set_classes(texts)
-    assert len(np.unique(model.cls)) > 128
-    model.freeze()
-    flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-    assert model.score(flat, lengths) == pytest.approx(model.score(flat, lengths, chunk=1024), rel=1e-5)
-
-
-def test_lm_learns_from_whole_texts(spark, monkeypatch):
-    """Classes count neighbours in every part of every training text, and windows are drawn from every part too."""
+    assert model.score(flat, lengths) == pytest.approx(want, rel=1e-4)
+    assert model.score(flat, lengths) == pytest.approx(model.score(flat, lengths, chunk=3), rel=1e-5)
+
+
+def brute_scores(model, texts):
+    """log10 probabilities id by id: attention over the window's ids before it, all groups, all classes of the group."""
+    p, out, stride = model.p, [], lm.WINDOW - lm.CONTEXT
+    for ids in texts:
+        total = 0.0
+        for i, t in enumerate(ids.tolist()):
+            first = i // stride * stride - lm.CONTEXT  # the window that scores position i
+            x = []
+            for j in range(first, i + 1):
+                before = model.start if j < 1 else model.row[ids[j - 1]]
+                x.append(p["E"][before] + p["P"][j - first])
+            x = np.array(x)
+            a = np.exp((x[-1] @ p["Q"]) @ (x @ p["K"]).T / math.sqrt(lm.WIDTH))
+            h = x[-1] + (a / a.sum()) @ (x @ p["V"]) @ p["O"]
+            g = model.group[model.cls[t]]
+            z, own = h @ p["U"] + p["b"], np.flatnonzero(model.group == g)
+            y = h @ p["W"][:, own] + p["c"][own]
+            total += z[g] - np.log(np.exp(z).sum()) + y[model.cls[t] - own[0]] - np.log(np.exp(y).sum()) + model.log_share[t]
+        out.append(total / math.log(10))
+    return np.array(out)
+
+
+def test_lm_learns_from_whole_texts(spark):
+    """Word counts are whole, and windows are drawn from every part of every text, in proportion to the share."""
     rows = [(i, "common words come first " * 400 + f"quaint zebra {i} " * 300) for i in range(40)]
     train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm.gather(train, WORD).collect()
+    counts = Counter()
+    for r in got:
+        if r["word"] is not None:
+            counts[bytes(r["word"])] += r["n"]
+    assert counts == Counter(w for _, t in rows for w in t.encode().split())
+    drawn = np.frombuffer(b"".join(bytes(r["drawn"]) for r in got if r["word"] is None), np.uint16).reshape(-1, lm.WINDOW + 1)
     encoder = wavelet.CachedEncoder(WORD)
-    ids, lengths = encoder.encode_batch([t.encode() for _, t in rows])
-    sub = np.bincount(ids, minlength=lm.IDS)
-    got, drawn = lm.learn_from(train, sub, WORD)
-    model = np.zeros(lm.IDS * lm.CELLS, np.int64)
-    for x in np.split(ids, np.cumsum(lengths)[:-1]):
-        lm.count_neighbours(model, lm.near_places(sub), x)
-    assert (got.reshape(-1) == model).all() and got.sum() == 2 * (len(ids) - len(rows))
-    assert len(drawn) == len(lm.draw_windows(ids, lengths)) and (drawn[:, lm.CONTEXT + 1 :] != lm.NONE).sum() == len(ids)
-    late = encoder.encode_batch([b"zebra"])[0][0]
-    for share in (1 / 8, 1 / 4):
-        monkeypatch.setattr(lm, "TRAIN_WINDOWS", 0)
-        monkeypatch.setattr(lm, "TRAIN_SHARE", share)
-        some = lm.learn_from(train, sub, WORD)[1]
-        assert 0.7 * share < len(some) / len(drawn) < 1.3 * share and (some == late).any()
+    late, end = encoder.encode_batch([b"zebra"])[0].tolist()
+    assert len(drawn) == sum(len(t.split()) // lm.STRIDE_WORDS + 1 for _, t in rows) and (drawn == late).any() and (drawn == end).sum() >= 40
+    words, ids = rows[0][1].encode().split(), encoder.encode_batch([rows[0][1].encode()])[0].tolist()
+    for share in (1 / 8, 1 / 2):
+        some = [x for m in range(30) for x in lm.draw_windows(words, 12345 * m, share, encoder.encode_batch)]
+        assert 0.7 * share < len(some) / (30 * (len(words) // lm.STRIDE_WORDS + 1)) < 1.3 * share and any(late in x for x in some)
+    text = " ".join(map(str, ids))
+    assert all(" ".join(str(t) for t in x if t != lm.NONE) in text for x in lm.draw_windows(words, 1, 1.0, encoder.encode_batch))
+    assert lm.train_share(10) == 1 and lm.train_share(10**12) * 10**12 > 8 * lm.train_share(10**9) * 10**9
 
 
 def test_quality(docs, texts, empty):
