@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,13 +38,14 @@ from .common import map_rows, materialize, ship, text_bytes
 MAX_PER_CLASS = 1000
 #: Lengths of the beginnings of longer words that are features too.
 BEGINNINGS = (4, 5, 6)
+HEAD = max(BEGINNINGS) + 1
 K = 15
 BLOCK = 64
 #: Features on more than this share of the examples are kept as block columns, others as posting lists.
 FREQUENT = 0.05
 #: More than single precision can err by in a cosine.
 SLACK = 1e-4
-#: Texts that are searched together, and words whose features a worker remembers.
+#: Texts that are searched together, and beginnings of words whose features a worker remembers.
 QUERIES = 64
 CACHE_WORDS = 300_000
 THRESHOLD = 0.7
@@ -62,41 +63,50 @@ def features(text: str) -> Counter:
 
 
 class _Known(dict):
-    """The feature numbers of words: the word's own and those of its beginnings, where the vocabulary has them."""
+    """The feature numbers of words' beginnings, by the first ``HEAD`` characters of a word."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
         self.number = number
 
-    def __missing__(self, w: str) -> list[int]:
-        get = self.number.get
-        found = [get(w, -1), *(get(w[:k] + "*", -1) for k in BEGINNINGS if len(w) > k)]
-        self[w] = found = [i for i in found if i >= 0]
+    def __missing__(self, head: str) -> list[int]:
+        found = [self.number.get(head[:k] + "*", -1) for k in BEGINNINGS if len(head) > k]
+        self[head] = found = [i for i in found if i >= 0]
         return found
 
 
 class Counted:
-    """Feature numbers and counts of texts over a fixed vocabulary."""
+    """Feature numbers and counts of texts over a fixed vocabulary; the same features as ``features`` gives."""
 
     def __init__(self, number: dict[str, int]):
         self.number, self.known = number, _Known(number)
 
+    def words(self, text: str) -> Counter:
+        out = Counter(text.lower().replace(".", " ").replace(",", " ").split())
+        for w in [w for w in out if not w.isalnum()]:
+            n = out.pop(w)
+            for x in _WORD.findall(w):
+                out[x] += n
+        return out
+
+    def flat(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers, some repeated, and how many of them each word has."""
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        lists = list(map(self.known.__getitem__, [w[:HEAD] for w in words]))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        own = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(lists))
+        return np.concatenate([np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), own[own >= 0]]), np.concatenate([np.repeat(np.arange(len(lists)), sizes), np.flatnonzero(own >= 0)])
+
     def present(self, text: str) -> np.ndarray:
         """The feature numbers of a text, each once."""
-        if len(self.known) >= CACHE_WORDS:
-            self.known = _Known(self.number)
-        found = set(chain.from_iterable(map(self.known.__getitem__, set(_WORD.findall(text.lower())))))
-        return np.fromiter(found, np.int64, len(found))
+        return np.unique(self.flat(self.words(text))[0])
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) >= CACHE_WORDS:
-            self.known = _Known(self.number)
-        words = Counter(_WORD.findall(text.lower()))
-        lists = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        words = self.words(text)
+        flat, word = self.flat(words)
         ids, where = np.unique(flat, return_inverse=True)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+        times = np.fromiter(words.values(), np.int64, len(words))[word]
         return ids, np.bincount(where, times, len(ids)).astype(np.int64)
 
 
@@ -166,23 +176,20 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, weights, examples and calibration; of bounded size, so it can be broadcast. Workers build the index."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int, class_weight: tuple[float, float], prior: float, k: int = K):
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], names: list[str], df: np.ndarray, n_docs: int, class_weight: tuple[float, float], prior: float, k: int = K):
+        """Examples are doc_id, label, feature numbers (places in ``names``) and counts."""
         self.prior, self.k, self.curve, self.built = prior, k, None, None
-        names = sorted({f for _, _, x in examples for f in x})
         self.number = {f: i for i, f in enumerate(names)}
-        total = [sum(y == v for _, y, _ in examples) for v in (0, 1)]
+        total = [sum(y == v for _, y, _, _ in examples) for v in (0, 1)]
         if not names or not all(total):
             return
         counts = np.zeros((2, len(names)))
-        rows = []
-        for doc_id, y, x in examples:
-            ids = np.array([self.number[f] for f in sorted(x)], np.int64)
-            rows.append((doc_id, y, ids, np.array([x[f] for f in sorted(x)], np.int64)))
+        for _, y, ids, _ in examples:
             counts[y, ids] += 1
-        idf = np.array([math.log((1 + n_docs) / (1 + df.get(f, 0))) for f in names])
+        idf = np.log((1 + n_docs) / (1 + df))
         rf = np.log2(2 + (counts[1] / total[1]) / (np.maximum(counts[0], 1) / total[0]))
         self.weights = np.maximum(idf, 0) * rf
-        vectors = [(d, y, *self.vector(t, c)) for d, y, t, c in rows]
+        vectors = [(d, y, *self.vector(t, c)) for d, y, t, c in examples]
         # examples that share their strongest frequent feature stand together, which makes the blocks' bounds tight
         often = np.bincount(np.concatenate([v[2] for v in vectors]), minlength=len(names)) > FREQUENT * len(vectors)
         strong = lambda t, w: int(t[np.argmax(np.where(often[t], w, 0))]) if len(t) else -1
@@ -263,15 +270,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     chosen = docs.select("doc_id", text_bytes().alias("data")).join(sample, F.col("doc_id") == F.col("_id")).drop("_id")
     chosen = chosen.groupBy("doc_id", "y").agg(F.min_by("data", F.struct(F.xxhash64("data"), "data")).alias("data"))
     chosen = materialize(map_rows(chosen, rows, "doc_id long, y int, names array<string>, counts array<int>"), "examples")
-    examples = [(r["doc_id"], r["y"], dict(zip(r["names"], r["counts"]))) for r in chosen.collect()]
-    got = Counter(y for _, y, _ in examples)
-    names = sorted({f for _, _, x in examples for f in x})
-    df, n_docs = document_frequency(docs, names) if examples else ({}, 0)
+    number: dict[str, int] = {}
+    examples = []
+    for r in chosen.orderBy("doc_id").toLocalIterator():
+        ids = np.array([number.setdefault(f, len(number)) for f in r["names"]], np.int64)
+        order = np.argsort(ids)
+        examples.append((r["doc_id"], r["y"], ids[order], np.array(r["counts"], np.int64)[order]))
+    got, names = Counter(y for _, y, _, _ in examples), list(number)
+    df, n_docs = document_frequency(docs, names)
     weight = tuple((totals.get(y, 0) / got[y]) if got.get(y) else 1.0 for y in (0, 1))
-    return Model(examples, df, n_docs, (weight[0] / max(weight), weight[1] / max(weight)), prior)
+    return Model(examples, names, df, n_docs, (weight[0] / max(weight), weight[1] / max(weight)), prior)
 
 
-def document_frequency(docs: DataFrame, names: list[str]) -> tuple[dict[str, int], int]:
+def document_frequency(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
     """Documents with each of the examples' features, and all documents. Each task sums up before the shuffle."""
     wanted = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
@@ -286,9 +297,13 @@ def document_frequency(docs: DataFrame, names: list[str]) -> tuple[dict[str, int
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["f", "n"])
 
+    if not names:
+        return np.zeros(0, np.int64), 0
     sums = docs.select(text_bytes().alias("data")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-    n = {r["f"]: r["n"] for r in sums}
-    return {f: n.get(i, 0) for i, f in enumerate(names)}, n.get(len(names), 0)
+    n = np.zeros(len(names) + 1, np.int64)
+    for r in sums:
+        n[r["f"]] = r["n"]
+    return n[:-1], int(n[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

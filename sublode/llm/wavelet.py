@@ -14,6 +14,7 @@ other columns, whatever their names, play no part; broken UTF-8 is read with U+F
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -36,7 +37,7 @@ MAGIC = b"WVM2"
 #: Bits of a plane that are compressed together; ones are counted up to each block.
 BLOCK_BITS = 1 << 16
 #: Distinct words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Bytes of texts that are encoded at once.
 BATCH_BYTES = 1_000_000
 
@@ -127,6 +128,14 @@ class CachedEncoder:
     def bits(self) -> int:
         return max(1, (self.size - 1).bit_length())
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, without end ids, and the number of ids of each. Nothing is remembered."""
+        if self.by_word:
+            data = list(map(self.cache.make, words))
+        else:
+            data = [array(self.kind, x.ids).tobytes() for x in self.model.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return np.frombuffer(b"".join(data), self.dtype), np.array([len(x) // np.dtype(self.dtype).itemsize for x in data], np.int64)
+
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each."""
         end = array(self.kind, [self.end_id]).tobytes()
@@ -134,8 +143,13 @@ class CachedEncoder:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.old = {}
                 self.cache = _Words(self.model, self.kind, self.cache)
-            get = self.cache.__getitem__
-            data = [b"".join(map(get, spaced(x))) + end for x in texts]
+            get, collects = self.cache.__getitem__, gc.isenabled()
+            gc.disable()  # new words make many small objects and no cycles
+            try:
+                data = [b"".join(map(get, spaced(x))) + end for x in texts]
+            finally:
+                if collects:
+                    gc.enable()
         else:
             found = self.model.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
             data = [array(self.kind, x.ids).tobytes() + end for x in found]
@@ -153,11 +167,25 @@ def worker_encoder(path: str) -> CachedEncoder:
     return _workers[path]
 
 
+_zstd = pa.Codec("zstd", 1)
+
+
+def pack(data: bytes) -> bytes:
+    """Its length and its Zstandard frame; data that does not shrink follows as it is, with the length negative."""
+    small = _zstd.compress(data, asbytes=True)
+    return struct.pack("<q", len(data)) + small if len(small) < len(data) else struct.pack("<q", -len(data)) + data
+
+
+def unpack(data) -> bytes:
+    (n,) = struct.unpack("<q", data[:8])
+    return _zstd.decompress(data[8:], n, asbytes=True) if n > 0 else bytes(data[8:])
+
+
 def planes_of(ids: np.ndarray, bits: int):
     """The packed bit planes of a wavelet matrix one by one, highest bit first."""
     now = ids
     for k in range(bits - 1, -1, -1):
-        one = (now >> k & 1).astype(bool)
+        one = (now & now.dtype.type(1 << k)).astype(bool)
         yield np.packbits(one)
         if k:
             now = np.concatenate([now[~one], now[one]])
@@ -169,10 +197,10 @@ def dump_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, bits: int =
     The header gives counts and part sizes; before a plane's blocks stand their compressed sizes and the ones before each.
     """
     known = np.array([0 if d is None else d for d in doc_ids], np.int64)
-    parts = [zlib.compress(x.tobytes(), 1) for x in (known, np.array([d is None for d in doc_ids], bool), lengths.astype(np.int64))]
+    parts = [pack(x.tobytes()) for x in (known, np.array([d is None for d in doc_ids], bool), lengths.astype(np.int64))]
     step = BLOCK_BITS // 8
     for p in planes_of(ids, bits):
-        blocks = [zlib.compress(p[i : i + step], 1) for i in range(0, len(p), step)]
+        blocks = [pack(p[i : i + step].tobytes()) for i in range(0, len(p), step)]
         ones = np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)) if len(p) else np.zeros(0, np.int64)
         table = np.array([len(b) for b in blocks], "<i8").tobytes() + np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes()
         parts += [table, b"".join(blocks)]
@@ -189,7 +217,7 @@ class _Plane:
         self.before = np.frombuffer(table, "<i8", blocks + 1, 8 * blocks)
         self.zeros, self.n, self.bits = n - int(self.before[-1]), n, block
         at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        self.block = lru_cache(4)(lambda b: np.frombuffer(zlib.decompress(data[at[b] : at[b + 1]]), np.uint8))
+        self.block = lru_cache(4)(lambda b: np.frombuffer(unpack(data[at[b] : at[b + 1]]), np.uint8))
 
     def bit(self, i: int) -> int:
         return int(self.block(i // self.bits)[i % self.bits // 8]) >> (7 - i % 8) & 1
@@ -231,7 +259,7 @@ class WaveletShard:
             parts.append(view[at : at + n])
             at += n
         self.n, self.bits = head["n"], head["bits"]
-        known, nulls, lengths = (zlib.decompress(p) for p in parts[:3])
+        known, nulls, lengths = (unpack(p) for p in parts[:3])
         self.doc_ids = [None if z else int(d) for d, z in zip(np.frombuffer(known, np.int64), np.frombuffer(nulls, bool))]
         self.lengths = np.frombuffer(lengths, np.int64)
         self.planes = [_Plane(parts[k + 1], bytes(parts[k]), self.n, head["block"]) for k in range(3, len(parts), 2)]

@@ -162,6 +162,15 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_features_by_number(texts):
+    vocabulary = sorted({f for t in texts[10:30] for f in toxicity.features(t)})
+    counted = toxicity.Counted({f: i for i, f in enumerate(vocabulary)})
+    for t in [*texts, "under_score x__y _ a.b,c'd É́tude ΑΣ. ²³½ longestwords longestworded"]:
+        want = {f: n for f, n in toxicity.features(t or "").items() if f in counted.number}
+        ids, n = counted(t or "")
+        assert {vocabulary[i]: k for i, k in zip(ids, n.tolist())} == want and counted.present(t or "").tolist() == ids.tolist()
+
+
 def test_block_max_search_is_exact():
     rnd = random.Random(4)
     unit = lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
@@ -353,12 +362,13 @@ def test_lm_learns_from_whole_texts(spark):
     encoder = wavelet.CachedEncoder(WORD)
     late, end = encoder.encode_batch([b"zebra"])[0].tolist()
     assert len(drawn) == sum(len(t.split()) // lm.STRIDE_WORDS + 1 for _, t in rows) and (drawn == late).any() and (drawn == end).sum() >= 40
-    words, ids = rows[0][1].encode().split(), encoder.encode_batch([rows[0][1].encode()])[0].tolist()
+    data = rows[0][1].encode()
+    words, ids = data.split(), encoder.encode_batch([rows[0][1].encode()])[0].tolist()
     for share in (1 / 8, 1 / 2):
-        some = [x for m in range(30) for x in lm.draw_windows(words, 12345 * m, share, encoder.encode_batch)]
+        some = [x for m in range(30) for x in lm.draw_windows(data, lm.draw_places(len(words), 12345 * m, share), encoder.encode_batch)]
         assert 0.7 * share < len(some) / (30 * (len(words) // lm.STRIDE_WORDS + 1)) < 1.3 * share and any(late in x for x in some)
     text = " ".join(map(str, ids))
-    assert all(" ".join(str(t) for t in x if t != lm.NONE) in text for x in lm.draw_windows(words, 1, 1.0, encoder.encode_batch))
+    assert all(" ".join(str(t) for t in x if t != lm.NONE) in text for x in lm.draw_windows(data, lm.draw_places(len(words), 1, 1.0), encoder.encode_batch))
     assert lm.train_share(10) == 1 and lm.train_share(10**12) * 10**12 > 8 * lm.train_share(10**9) * 10**9
 
 
