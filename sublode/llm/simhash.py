@@ -17,12 +17,13 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_null_safe, map_rows, materialize, ship, text_bytes
@@ -37,6 +38,10 @@ NEAR_SHINGLE = 5
 NEAR_MARK = 2
 NEAR_DIFF = 9
 NEAR_JACCARD = 0.8
+#: Buckets of the sketches that rule out pairs before texts are compared.
+SKETCH = 512
+#: How many candidates in other components a text brings from each upper node, round by round; 0: all that are left.
+NEAREST = (4, 32, 0)
 #: Bits of the levels under an upper node's 35 fixed bits.
 LEVELS = (6, 6, 6, 6, 5)
 #: Node pairs that are expanded at once.
@@ -164,11 +169,24 @@ class Forest:
             np.minimum.at(self.up, high, low)
 
 
-def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DIFF, part: np.ndarray | None = None, pairs: list | None = None, twins: bool = False) -> np.ndarray:
+def nearest(a: np.ndarray, b: np.ndarray, diff: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that are among the ``most`` nearest of either member; ties go to the earlier member."""
+    own, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([diff, diff])
+    order = np.lexsort((other, d, own))
+    own = own[order]
+    at, run = _runs(np.concatenate([[True], own[1:] != own[:-1]]))
+    keep = np.zeros(len(a), bool)
+    keep[order[np.arange(len(own)) - at[run] < most] % len(a)] = True
+    return a[keep], b[keep], diff[keep]
+
+
+def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DIFF, part: np.ndarray | None = None, pairs: list | None = None, twins: bool = False, most: int = 0, may=None) -> np.ndarray:
     """Forest roots of members sorted by (group, Gray rank); ``low`` holds their free bits, ``bits`` of them.
 
     Nodes of each level are runs of members that share a group and the free bits down to that level. With ``pairs``,
-    every linked pair of members of different ``part`` is added to it as well. With ``twins``, members may be equal.
+    linked pairs of members of different ``part`` are added to it as well: all, or with ``most`` those nearest to either
+    member, and only those that ``may`` keeps; nodes whose members are all of one part are then not walked against each
+    other. With ``twins``, members may be equal.
     """
     n = len(group)
     forest, change = Forest(n), np.concatenate([[True], group[1:] != group[:-1]])
@@ -184,18 +202,32 @@ def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DI
     if twins:  # a last level of no bits, where each member stands alone
         starts.append(np.arange(n + 1))
         levels.append(np.zeros(n, np.uint8))
+    mixed = np.int64(-1)
+    alone = None  # by level, the part of each node's members, or -1 if there are several
+    if pairs is not None:
+        number = np.unique(part, return_inverse=True)[1]
+        ends = [(np.minimum.reduceat(number, at[:-1]), np.maximum.reduceat(number, at[:-1])) for at in starts]
+        alone = [np.where(x == y, x, mixed) for x, y in ends]
     # first child of each node, by level: children are the nodes of the next level that start inside it
     first = [np.searchsorted(starts[k + 1], starts[k]) for k in range(len(levels))]
-    top = np.flatnonzero(np.diff(starts[0]) > 1)
+    top = np.flatnonzero((np.diff(starts[0]) > 1) & (alone is None or alone[0] < 0))
+    found, n_found = [], 0
     stack = [(0, top, top, np.zeros(len(top), np.uint8))]
     while stack:
         k, a, b, diff = stack.pop()
         if k == len(levels):
             at = starts[k]
-            if pairs is not None:
-                apart = part[at[a]] != part[at[b]]
-                pairs.append((at[a][apart], at[b][apart]))
-            forest.join(at[a], at[b])
+            if pairs is None:
+                forest.join(at[a], at[b])
+                continue
+            if may is not None:
+                fit = may(at[a], at[b])
+                a, b, diff = a[fit], b[fit], diff[fit]
+            found.append((at[a], at[b], diff))
+            n_found += len(a)
+            if most and n_found > CHUNK:
+                found = [nearest(*(np.concatenate(x) for x in zip(*found)), most)]
+                n_found = len(found[0][0])
             continue
         na, nb = first[k][a + 1] - first[k][a], first[k][b + 1] - first[k][b]
         made = np.cumsum(na * nb)
@@ -216,26 +248,57 @@ def linked(group: np.ndarray, low: np.ndarray, bits: int, max_diff: int = MAX_DI
             keep &= ca != cb
         else:  # a leaf alone has no pair with itself
             keep &= (ca != cb) | (starts[k + 1][ca + 1] - starts[k + 1][ca] > 1)
+        if alone is not None:
+            keep &= (alone[k + 1][ca] < 0) | (alone[k + 1][ca] != alone[k + 1][cb])
         stack.append((k + 1, ca[keep], cb[keep], d[keep]))
+    if found:
+        every = tuple(np.concatenate(x) for x in zip(*found))
+        pairs.append((nearest(*every, most) if most and len(every[0]) else every)[:2])
     return forest.roots(np.arange(n))
 
 
-def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS, whole: bool = False, twins: bool = False) -> DataFrame:
+def sketch(data: bytes, shingle: int) -> tuple[bytes, int]:
+    """A bit for each of SKETCH buckets that holds a shingle of a text, and the number of its distinct shingles."""
+    every, bits = shingles(data, shingle), np.zeros(SKETCH, bool)
+    bits[[xxhash.xxh64_intdigest(b" ".join(x)) % SKETCH for x in every]] = True
+    return np.packbits(bits).tobytes(), len(every)
+
+
+def possible(sketches: np.ndarray, size: np.ndarray, least: float):
+    """A test of pairs of members: whether their Jaccard similarity can be ``least``.
+
+    Common shingles fall into common buckets; beyond one for each of these, there are no more than either has shingles
+    that share a bucket.
+    """
+    extra = size - np.bitwise_count(sketches).sum(1, dtype=np.int64)
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        common = np.bitwise_count(sketches[a] & sketches[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
+        common = np.minimum(common, np.minimum(size[a], size[b]))
+        return common >= least * (size[a] + size[b] - common) - 1e-9
+
+    return test
+
+
+def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS, whole: bool = False, twins: bool = False, most: int = 0, least: float = 0.0) -> DataFrame:
     """a, b: spanning forests of the links below each upper node. Tasks hold whole upper nodes, a block at a time.
 
-    With ``whole``, all links between members of a different ``part`` (a column more) instead.
+    With ``whole``, links between members of a different ``part`` instead: all, or with ``most`` only those nearest to
+    either member in each upper node. Rows then have part, sketch and size too, and pairs whose sketches rule out a
+    similarity of ``least`` are dropped.
     """
-    names = ["kind", "head", "gray", "rep"] + ["part"] * whole
+    names = ["kind", "head", "gray", "rep"] + ["part", "sketch", "size"] * whole
 
     def run(batches):
-        def solve(kind, head, gray, rep, part=None):
+        def solve(kind, head, gray, rep, part=None, sketch=None, size=None):
             p = gray ^ gray >> np.uint64(1)
             for k in np.unique(kind):
                 own = np.flatnonzero(kind == k)
                 free = 64 - masks[k][1]
                 group = np.cumsum(np.concatenate([[0], head[own][1:] != head[own][:-1]]))
                 pairs: list | None = [] if whole else None
-                root = linked(group, p[own] & np.uint64((1 << free) - 1), free, max_diff, part[own] if whole else None, pairs, twins)
+                may = possible(sketch[own], size[own], least) if whole else None
+                root = linked(group, p[own] & np.uint64((1 << free) - 1), free, max_diff, part[own] if whole else None, pairs, twins, most, may)
                 if whole:
                     for a, b in pairs:
                         yield pa.RecordBatch.from_arrays([pa.array(rep[own][np.minimum(a, b)]), pa.array(rep[own][np.maximum(a, b)])], ["a", "b"])
@@ -246,7 +309,9 @@ def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS,
 
         ready, held, size, last = [], [], 0, None  # whole upper nodes, and the batches of the one not ended
         for batch in batches:
-            cols = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), *(np.asarray(c) for c in batch.columns[3:])]
+            cols = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), *(np.asarray(c) for c in batch.columns[3:5])]
+            if whole:
+                cols += [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1), np.asarray(batch.column(6))]
             if not len(cols[0]):
                 continue
             new = np.concatenate([[last is not None and last != (cols[0][0], cols[1][0])], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
@@ -291,9 +356,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_diff: int = MAX_DIFF)
     return join_null_safe(docs, keep, "doc_id").select(*docs.columns)
 
 
+def shingles(data: bytes, shingle: int) -> set:
+    """The distinct word shingles of a text; all its words as one where they are fewer."""
+    w = data.lower().split()
+    return set(zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else {tuple(w)}
+
+
 def jaccard(x: bytes, y: bytes, shingle: int) -> float:
     """Jaccard similarity of two texts' sets of word shingles; wordless texts are alike."""
-    a, b = (set(zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else {tuple(w)} for w in (x.lower().split(), y.lower().split()))
+    a, b = shingles(x, shingle), shingles(y, shingle)
     return len(a & b) / len(a | b)
 
 
@@ -310,12 +381,13 @@ def checked(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 
 
 def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int = NEAR_MARK, max_diff: int = NEAR_DIFF, least: float = NEAR_JACCARD) -> DataFrame:
-    """doc_id, fp, component_id, the smallest doc_id of the component.
+    """doc_id, key (of the text), fp, component_id (the component's smallest doc_id), stays (whether the row may stand for it).
 
     Links join texts whose Jaccard similarity is ``least`` or more: all those whose fingerprints (of ``mark``-word
     shingles) differ by at most ``max_diff`` bits, and those met at the ends of a chain of such. Each distinct text is
-    a node. First the index's spanning forests are checked, then every candidate between what these leave apart, so
-    that none is missed and large groups do not yield all their pairs.
+    a node. The index's spanning forests are checked first, then each text's nearest few candidates in other
+    components, then more of them, and at last every candidate between what is still apart: none is missed, and a large
+    group, once it is one component, yields no more pairs.
     """
     masks = wide_masks(max_diff)
 
@@ -330,19 +402,45 @@ def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int =
     candidates = materialize(index_links(index_rows(reps.withColumn("rep", F.col("key")), masks), max_diff, masks, twins=True).distinct(), "candidates")
     near = candidates.select(F.col("a").alias("key")).union(candidates.select(F.col("b").alias("key"))).distinct()
     texts = materialize(marks.join(near, "key", "left_semi").groupBy("key").agg(F.min("data").alias("data")), "texts")
+
+    def outlines(c: dict) -> dict:
+        got = [sketch(b, shingle) for b in c["data"]]
+        return {"rep": c["key"], "sketch": [x for x, _ in got], "size": [n for _, n in got]}
+
+    some = reps.join(near, "key", "left_semi").select("fp", F.col("key").alias("rep"))
+    outline = map_rows(texts.select("key", "data"), outlines, "rep long, sketch binary, size long")
+    some = materialize(some.join(outline, "rep"), "members")
+    index = materialize(index_rows(some, masks), "index")
     links = materialize(checked(candidates, texts, shingle, least), "links")
-    first = connected(links).withColumnRenamed("rep", "key")
-    some = reps.join(near, "key", "left_semi").join(first, "key", "left").select("fp", F.col("key").alias("rep"), F.coalesce("component", "key").alias("part"))
-    some = materialize(some, "parts")
-    index = index_rows(some, masks).join(some.select("rep", "part"), "rep")
-    more = materialize(index_links(index, max_diff, masks, whole=True, twins=True).distinct(), "candidates").join(candidates, ["a", "b"], "left_anti")
-    found = connected(materialize(links.union(checked(more, texts, shingle, least)), "links")).withColumnRenamed("rep", "key")
+    found = connected(links).withColumnRenamed("rep", "key")
+    for most in NEAREST:
+        part = some.select("rep", "sketch", "size").join(found.withColumnRenamed("key", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"), "sketch", "size")
+        more = index_links(index.join(part, "rep"), max_diff, masks, whole=True, twins=True, most=most, least=least).distinct().join(candidates, ["a", "b"], "left_anti")
+        more = materialize(more, "candidates")
+        links = materialize(links.union(checked(more, texts, shingle, least)), "links")
+        candidates = candidates.union(more)
+        found = connected(links).withColumnRenamed("rep", "key")
     node = materialize(reps.join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("node")), "nodes")
-    of = node.join(node.groupBy("node").agg(F.min("least").alias("component_id")), "node").select("key", "component_id")
-    return marks.select("doc_id", "key", "fp").join(of, "key").select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("first")  # a null doc_id comes last
+    of = node.join(node.groupBy("node").agg(first), "node").select("key", F.col("first.least").alias("component_id"), (F.col("key") == F.col("first.key")).alias("_own"))
+    stays = F.col("_own") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return marks.select("doc_id", "key", "fp").join(of, "key").select("doc_id", "key", "fp", "component_id", stays.alias("stays"))
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their similarity component; of rows that repeat a doc_id all stay."""
-    keep = similar_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return join_null_safe(docs, keep, "doc_id").select(*docs.columns)
+    """One row of each similarity component: of its smallest doc_id, of one text and row where that repeats.
+
+    Only what goes is joined back, by doc_id and text; rows that are alike in both are numbered.
+    """
+    found = materialize(similar_components(docs).groupBy("doc_id", "key", "stays").agg(F.count("*").alias("n")), "found")
+    given, key = docs.alias("_given"), F.xxhash64(text_bytes())
+    match = F.col("_given.doc_id").eqNullSafe(F.col("_found.doc_id")) & (key == F.col("_found.key"))
+    out = given.join(found.filter("NOT stays").alias("_found"), match, "left_anti")
+    again = found.filter("stays AND n > 1")
+    if again.isEmpty():
+        return out
+    out = out.alias("_given")
+    alike = out.join(again.alias("_found"), match, "left_semi")
+    one = Window.partitionBy("doc_id", key).orderBy(key)
+    name = f"_row_{uuid.uuid4().hex}"
+    return out.join(again.alias("_found"), match, "left_anti").unionByName(alike.withColumn(name, F.row_number().over(one)).filter(F.col(name) == 1).drop(name))
