@@ -14,8 +14,13 @@ removed; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows, materialize, ship, text_bytes
 
@@ -28,7 +33,8 @@ LINE_SHARE = 0.05
 #: A document is depleted when fewer words or a smaller share of its words than these stay.
 MIN_WORDS = 10
 MIN_SHARE = 0.1
-STATS = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", base_failed boolean, kept boolean, removed_words long, removed array<long>"
 
 
 def repeated_words(words: list) -> int:
@@ -64,10 +70,29 @@ def text_stats(data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), dup, repeated_words(words)
 
 
-def _stat_rows(c: dict) -> dict:
-    got = [text_stats(b) for b in c["data"]]
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return {"doc_id": c["doc_id"], "host": c["host"], "text_hash": c["text_hash"], **dict(zip(names, zip(*got)))}
+def line_key(line: bytes) -> int:
+    """The hash that ``text_lines`` gives a normalised line."""
+    h = xxhash.xxh64_intdigest(line, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def judge(data: bytes, common: frozenset) -> tuple[tuple, bool, bool, int, list[int], bytes]:
+    """Statistics, base_failed, kept, removed words, removed lines (hashes) and what is left of one UTF-8 text."""
+    stats, lost, gone, left = text_stats(data), 0, set(), data
+    if common:
+        lines = []
+        for line in data.split(b"\n"):
+            words = line.lower().split()
+            if words and (key := line_key(b" ".join(words))) in common:
+                lost += len(words)
+                gone.add(key)
+            else:
+                lines.append(line)
+        left = b"\n".join(lines) if gone else data
+    n = stats[0]
+    failed = n < MIN_WORDS or 100 * stats[4] > 20 * n
+    depleted = lost > 0 and (n - lost < MIN_WORDS or n - lost < MIN_SHARE * n)
+    return stats, failed, not failed and not depleted, lost, sorted(gone), left
 
 
 def host_of() -> Column:
@@ -103,25 +128,28 @@ def common_lines(texts: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float =
     return per_line.filter(F.col("docs") > min_docs).join(per_host, "host").filter(F.col("docs") > F.col("host_docs") * share).select("host", "line", "docs")
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """host, text_hash, removed_words, removed (distinct hashes of the removed lines) of the texts that lose a line."""
+def with_lines(docs: DataFrame, name: str, min_docs: int, share: float) -> DataFrame:
+    """The documents with a column more: the common lines of their host, of which each has at most 1 / ``share`` texts' worth.
+
+    Spark broadcasts that table where it is known to be small; texts are then not shuffled.
+    """
     texts = materialize(text_table(docs), "texts")
-    found = materialize(common_lines(texts, min_docs, share), "common-lines")
-    lines = texts.select("host", "text_hash", F.inline("lines"))
-    return lines.join(found.select("host", "line"), ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
+    found = common_lines(texts, min_docs, share).groupBy("host").agg(F.collect_list("line").alias("lines"))
+    found = materialize(found, "common-lines").alias("_found")
+    return docs.alias("_given").join(found, host_of() == F.col("_found.host"), "left").select("_given.*", F.col("_found.lines").alias(name))
 
 
 def quality(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """One row per row: statistics, ``base_failed``, ``removed_words``, ``removed`` line hashes and ``kept``."""
     ship(docs.sparkSession)
-    given = docs.select("doc_id", host_of().alias("host"), F.xxhash64(text_of()).alias("text_hash"), text_bytes().alias("data"))
-    stats = map_rows(given, _stat_rows, STATS)
-    lost = materialize(removed_lines(docs, min_docs, share), "lost")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
-    depleted = F.coalesce(F.col("removed_words") > 0, F.lit(False)) & ((left < MIN_WORDS) | (left < MIN_SHARE * F.col("n_words")))
-    out = stats.join(lost, ["host", "text_hash"], "left")
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+
+    def rows(c: dict) -> dict:
+        got = [judge(b, frozenset(x or ())) for b, x in zip(c["data"], c["lines"])]
+        stats, failed, kept, lost, gone, _ = zip(*got)
+        return {"doc_id": c["doc_id"], **dict(zip(NUMBERS, zip(*stats))), "base_failed": failed, "kept": kept, "removed_words": lost, "removed": gone}
+
+    given = with_lines(docs.select("doc_id", "text", "source"), "lines", min_docs, share)
+    return map_rows(given.select("doc_id", "lines", text_bytes().alias("data")), rows, STATS)
 
 
 def removed(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
@@ -133,18 +161,23 @@ def removed(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """The documents that pass, without their boilerplate lines; the columns of the input, ``n_chars`` follows the text.
-
-    Only the texts that are rejected or lose lines are joined back, by host and text.
-    """
-    found = quality(docs, min_docs, share).filter(~F.col("kept") | F.col("removed").isNotNull())
-    found = materialize(found.groupBy("host", "text_hash").agg(F.first("kept").alias("_kept"), F.first("removed").alias("_removed")), "verdicts")
-    given, gone = docs.alias("_given"), F.col("_found._removed")
-    match = (host_of() == F.col("_found.host")) & (F.xxhash64(text_of()) == F.col("_found.text_hash"))
-    out = given.join(found.alias("_found"), match, "left")
-    line = F.filter(F.split(text_of(), "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x))))
-    changed = F.array_join(line, "\n")
-    new = {"text": F.when(gone.isNull(), F.col("_given.text")).otherwise(changed).alias("text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(gone.isNull(), F.col("_given.n_chars")).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    return out.filter(F.coalesce(F.col("_found._kept"), F.lit(True))).select(*(new.get(c, F.col(f"_given.`{c}`")) for c in docs.columns))
+    """The documents that pass, without their boilerplate lines; the columns of the input, ``n_chars`` follows the text."""
+    ship(docs.sparkSession)
+    names, kinds = docs.columns, to_arrow_schema(docs.schema)
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() if i in (text, chars) else batch.column(i) for i in range(len(names))]
+            keep = []
+            for i, (t, lines) in enumerate(zip(cols[text], batch.column(len(names)).to_pylist())):
+                *_, kept, _, gone, left = judge((t or "").encode(), frozenset(lines or ()))
+                keep.append(kept)
+                if gone:
+                    cols[text][i] = left.decode()
+                    if chars is not None:
+                        cols[chars][i] = len(cols[text][i])
+            full = [pa.array(c, kinds.field(i).type) if isinstance(c, list) else c for i, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays(full, names).filter(pa.array(keep, pa.bool_()))
+
+    return with_lines(docs, f"_lines_{uuid.uuid4().hex}", min_docs, share).mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ MAGIC = b"WVM2"
 #: Bits of a plane that are compressed together; ones are counted up to each block.
 BLOCK_BITS = 1 << 16
 #: Distinct words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Bytes of texts that are encoded at once.
 BATCH_BYTES = 1_000_000
 
@@ -48,6 +48,7 @@ _MARKED = re.compile("(?:[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]|[!-/:-@\\[-`{-~](
 _PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+|[^a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").findall
 #: A character outside those of simple texts: letters that normalise one by one, digits, white space, full stop, comma.
 _ODD = re.compile("[^a-zA-Z0-9\t-\r .,\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0153]").search
+_SIMPLE = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\t\n\x0b\f\r .,"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level alphabets show each byte as a character: printable ones as themselves, the rest from 256 on.
 _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
@@ -86,7 +87,8 @@ def spaced(data: bytes) -> list[bytes]:
 
     In those each mark is a piece of the splitter's own, unless two stand together.
     """
-    if not any(two in data for two in (b"..", b",,", b".,", b",.")) and _ODD(data.decode("utf-8", "replace")) is None:
+    odd = data.translate(None, _SIMPLE)
+    if not any(two in data for two in (b"..", b",,", b".,", b",.")) and (not odd or _ODD(odd.decode("utf-8", "replace")) is None):
         data = data.lower().replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ")
     return data.split()
 
@@ -185,6 +187,8 @@ def planes_of(ids: np.ndarray, bits: int):
     """The packed bit planes of a wavelet matrix one by one, highest bit first."""
     now = ids
     for k in range(bits - 1, -1, -1):
+        if k == 7:
+            now = now.astype(np.uint8)  # what is left of the ids fits a byte
         one = (now & now.dtype.type(1 << k)).astype(bool)
         yield np.packbits(one)
         if k:
@@ -309,15 +313,17 @@ class WaveletShard:
 
     def ids(self) -> np.ndarray:
         """All ids: the order of the lowest plane, then back up through each plane."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
+        now = np.zeros(self.n, np.uint8)
         for k in range(self.bits - 1, -1, -1):
+            if self.bits - k in (9, 17):
+                now = now.astype(np.uint16 if now.itemsize == 1 else np.uint32)
+            kind = now.dtype.type
             one, zeros = self.planes[k].whole(), self.planes[k].zeros
             out = np.empty(self.n, kind)
             out[~one] = now[:zeros]
             out[one] = now[zeros:] | kind(1 << (self.bits - 1 - k))
             now = out
-        return now
+        return now if now.itemsize > 1 else now.astype(np.uint16)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
