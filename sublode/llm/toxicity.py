@@ -63,7 +63,7 @@ def features(text: str) -> Counter:
 
 
 class _Known(dict):
-    """The feature numbers of words' beginnings, by the first ``HEAD`` characters of a word."""
+    """The feature numbers of words by their first ``HEAD`` characters: of the beginnings, and of a shorter word itself."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
@@ -71,6 +71,8 @@ class _Known(dict):
 
     def __missing__(self, head: str) -> list[int]:
         found = [self.number.get(head[:k] + "*", -1) for k in BEGINNINGS if len(head) > k]
+        if len(head) < HEAD:
+            found.append(self.number.get(head, -1))
         self[head] = found = [i for i in found if i >= 0]
         return found
 
@@ -90,19 +92,28 @@ class Counted:
         return out
 
     def flat(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers, some repeated, and how many of them each word has."""
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
+        """Feature numbers, some repeated, and the place of the word of each."""
         lists = list(map(self.known.__getitem__, [w[:HEAD] for w in words]))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        own = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(lists))
-        return np.concatenate([np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), own[own >= 0]]), np.concatenate([np.repeat(np.arange(len(lists)), sizes), np.flatnonzero(own >= 0)])
+        own = [(i, k) for i, w in enumerate(words) if len(w) >= HEAD and (k := self.number.get(w)) is not None]
+        flat = np.fromiter(chain(chain.from_iterable(lists), [k for _, k in own]), np.int64, int(sizes.sum()) + len(own))
+        return flat, np.concatenate([np.repeat(np.arange(len(lists)), sizes), np.array([i for i, _ in own], np.int64)])
 
-    def present(self, text: str) -> np.ndarray:
-        """The feature numbers of a text, each once."""
-        return np.unique(self.flat(self.words(text))[0])
+    def present(self, text: str) -> set[int]:
+        """The feature numbers of a text."""
+        self.room()
+        words = self.words(text)
+        out = set().union(*map(self.known.__getitem__, {w[:HEAD] for w in words}))
+        out.update(map(self.number.get, [w for w in words if len(w) >= HEAD]))
+        out.discard(None)
+        return out
+
+    def room(self) -> None:
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        self.room()
         words = self.words(text)
         flat, word = self.flat(words)
         ids, where = np.unique(flat, return_inverse=True)
@@ -291,9 +302,11 @@ def document_frequency(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, i
 
         counted, sums = Counted(wanted.value), np.zeros(len(wanted.value) + 1, np.int64)
         for batch in batches:
+            found: list[int] = []
             for b in batch.column(0).to_pylist():
-                sums[counted.present(b.decode("utf-8", "replace"))] += 1
-                sums[-1] += 1
+                found.extend(counted.present(b.decode("utf-8", "replace")))
+            sums += np.bincount(np.array(found, np.int64), minlength=len(sums))
+            sums[-1] += batch.num_rows
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["f", "n"])
 
