@@ -8,7 +8,7 @@ from .functions.quality import (
 )
 from .functions.selectors import CustomSelector, EqualitySelector, IntervalSelector, NegatedSelector, parse_selector, remove_target_attributes, str_to_bool
 from .functions.targets import BinaryTarget, FITarget, NumericTarget, RegressionTarget
-from .operators.results import SubgroupDiscoveryResult, overlap_filter, unique_attributes
+from .operators.results import SubgroupDiscoveryResult, overlap_filter, overlaps_list, unique_attributes
 from .operators.search import DFS, Apriori, BeamSearch, BestFirstSearch, DFSNumeric, GeneralisingBFS, GpGrowth, SimpleDFS, SimpleSearch, SubgroupDiscoveryTask
 from .plans.searchspace import create_nominal_selectors, create_numeric_selectors, create_selectors, equal_frequency_discretization
 from .sources.datasets import read_any, read_arff, read_tsv

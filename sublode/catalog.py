@@ -294,7 +294,7 @@ _order_cells(S.StandardQFNumeric(1.0, centroid="median"), "qf_numeric_median", "
 _order_cells(S.StandardQFNumericTscore(), "qf_tscore", "count(*) AS n, avg(t) AS m, stddev_pop(t) AS s", "round(sqrt(n) * (m - bm) / s, 6) AS quality", "quality", 6)
 _over = "(SELECT avg(t) FROM base)"
 _order_cells(S.StandardQFNumeric(1.0), "oe_sum", f"count(*) AS n, sum(CASE WHEN t > {_over} THEN t - {_over} ELSE 0 END) AS e", "round(e, 2) AS estimate", "estimate", 2)
-_order_cells(S.StandardQFNumeric(1.0, "max"), "oe_max", f"count(*) AS n, count(*) FILTER (WHERE t > {_over}) * (max(t) - {_over}) AS e", "round(e, 2) AS estimate", "estimate", 2)
+_order_cells(S.StandardQFNumeric(1.0, estimator="max"), "oe_max", f"count(*) AS n, count(*) FILTER (WHERE t > {_over}) * (max(t) - {_over}) AS e", "round(e, 2) AS estimate", "estimate", 2)
 
 
 @register("oe_order", """WITH o AS (SELECT 'o_orderstatus==''' || o_orderstatus || '''' AS g, o_totalprice AS t FROM orders), m AS (SELECT avg(t) AS bm FROM o), r AS (SELECT g, row_number() OVER w AS k, sum(t) OVER (PARTITION BY g ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS s FROM o WINDOW w AS (PARTITION BY g ORDER BY t DESC))
@@ -374,7 +374,9 @@ def dfs_numeric(spark, d):
     return _numeric(S.DFSNumeric(), d, spark)
 
 
-@register("beam_search")
+@register("beam_search", f"""{sql_line(2)}, sc AS (SELECT items, n, p, {std(1)} AS q, {KEY} AS subgroup FROM cells, tot), b AS (SELECT items FROM sc WHERE len(items) <= 1 ORDER BY q DESC, subgroup DESC LIMIT {K}),
+f AS (SELECT * FROM sc WHERE items IN (SELECT items FROM b) OR (len(items) = 2 AND EXISTS (SELECT 1 FROM b WHERE len(b.items) = 1 AND list_contains(sc.items, b.items[1]))))
+SELECT row_number() OVER (ORDER BY q DESC, subgroup DESC) AS rank, round(q, 9) AS quality, subgroup, n, p FROM f ORDER BY rank LIMIT {K}""")
 def beam_search(spark, d):
     return ranked(S.BeamSearch(K).execute(line_task(spark, d, S.WRAccQF())), "n", "p")
 
@@ -475,13 +477,24 @@ def filter_max_stat(spark, d):
     return R.maximum_statistic_filter(_stats(_top(spark, d)), "size_sg", 5000)
 
 
-@register("filter_unique_attrs")
+def _ranks(k: int) -> str:
+    """CTEs: top (the k best descriptions), cov (which row each covers), sim (their overlaps)."""
+    return f"""{sql_line(2).replace("WITH ", "WITH RECURSIVE ", 1)}, top AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY {std(1)} DESC, {KEY} DESC) AS rank, round({std(1)}, 9) AS quality, {KEY} AS subgroup, list_sort(items) AS items FROM cells, tot WHERE len(items) > 0) WHERE rank <= {k}),
+lines AS (SELECT row_number() OVER () AS line, [i0, i1, i2, i3, i4] AS r FROM base), cov AS (SELECT line, rank FROM lines, top WHERE list_has_all(r, items)), sz AS (SELECT rank, count(*) AS n FROM cov GROUP BY rank),
+dual AS (SELECT a.rank AS x, b.rank AS y, count(*) AS n FROM cov a JOIN cov b ON a.line = b.line GROUP BY 1, 2),
+sim AS (SELECT a.rank AS x, b.rank AS y, coalesce(dual.n, 0) / CAST(a.n + b.n - coalesce(dual.n, 0) AS DOUBLE) AS j FROM sz a CROSS JOIN sz b LEFT JOIN dual ON dual.x = a.rank AND dual.y = b.rank)"""
+
+
+@register("filter_unique_attrs", f"""{_ranks(K)}, a AS (SELECT *, list_sort(list_distinct(list_transform(items, lambda x: regexp_extract(x, '^[a-z_]+')))) AS attrs FROM top), k AS (SELECT *, row_number() OVER (PARTITION BY attrs ORDER BY rank) AS nth FROM a)
+SELECT row_number() OVER (ORDER BY rank) AS rank, quality, subgroup FROM k WHERE nth = 1 OR attrs = ['l_linestatus']""")
 def filter_unique_attrs(spark, d):
     kept = S.unique_attributes(_top(spark, d))
     return spark.createDataFrame([(i + 1, round(q, 9), x.key) for i, (q, x, _) in enumerate(kept)], "rank bigint, quality double, subgroup string")
 
 
-@register("filter_overlap")
+@register("filter_overlap", f"""{_ranks(K)}, bad AS (SELECT x, list(y) AS ys FROM sim WHERE y < x AND j > 0.5 GROUP BY x), t AS (SELECT rank, coalesce(ys, []) AS ys FROM top LEFT JOIN bad ON x = rank),
+kept AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS s UNION ALL SELECT t.rank, CASE WHEN list_has_any(kept.s, t.ys) THEN kept.s ELSE list_append(kept.s, t.rank) END FROM kept JOIN t ON t.rank = kept.k + 1)
+SELECT row_number() OVER (ORDER BY rank) AS rank, quality, subgroup FROM top WHERE list_contains((SELECT s FROM kept ORDER BY k DESC LIMIT 1), rank)""")
 def filter_overlap(spark, d):
     kept = S.overlap_filter(_top(spark, d), 0.5)
     return spark.createDataFrame([(i + 1, round(q, 9), x.key) for i, (q, x, _) in enumerate(kept)], "rank bigint, quality double, subgroup string")
@@ -517,7 +530,7 @@ def plot_hist(spark, d):
     return rounded(out.drop("low"), 12)
 
 
-@register("similarity_matrix")
+@register("similarity_matrix", f"{_ranks(10)} SELECT array_to_string(a.items, ' AND ') AS \"left\", array_to_string(b.items, ' AND ') AS \"right\", round(j, 9) AS jaccard FROM sim JOIN top a ON a.rank = x JOIN top b ON b.rank = y")
 def similarity_matrix(spark, d):
     return rounded(R.similarity(_top(spark, d, k=10)))
 
@@ -527,7 +540,7 @@ def similarity_dendrogram(spark, d):
     return spark.createDataFrame([(i, ", ".join(a), ", ".join(b), x) for i, (a, b, x) in enumerate(R.dendrogram(_top(spark, d, k=6)))], "step int, left string, right string, distance double")
 
 
-@register("support_matrix")
+@register("support_matrix", f"{_ranks(5)}, m AS (SELECT line, list(rank) AS r FROM cov GROUP BY line) SELECT CAST(len(r) AS INT) AS covered, " + ", ".join(f"list_contains(r, {i + 1}) AS s{i}" for i in range(5)) + " , count(*) AS \"rows\" FROM m GROUP BY ALL")
 def support_matrix(spark, d):
     return R.support_matrix(_top(spark, d, k=5)).groupBy("covered", *(f"s{i}" for i in range(5))).agg(F.count("*").alias("rows"))
 
@@ -540,3 +553,146 @@ def scalar_helpers(spark, d):
     e = table(spark, d, "events")
     sign = scalars.conditional_invert(F.lit(1).cast("long"), F.col("user_id") % 2 == 0)
     return e.groupBy("event_type").agg(F.round(scalars.effective_sample_size(F.col("value")), 6).alias("ess"), F.sum(sign).alias("signs"), F.max(scalars.count_bits(F.col("user_id"))).alias("bits"))
+
+
+# ---- selectors from text, custom selectors, base statistics
+
+_TEXTS = {"l_linestatus=='F'": "l_linestatus = 'F'", "l_quantity: [10.0:20.0[": "l_quantity >= 10 AND l_quantity < 20", "l_discount>=0.08": "l_discount >= 0.08", "l_tax<0.03": "l_tax < 0.03", "l_linenumber==3": "l_linenumber = 3", "NOT l_tax<0.03": "NOT l_tax < 0.03", "l_tax.isnull()": "l_tax IS NULL"}
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@register("parse_selectors", " UNION ALL ".join(f"SELECT {_text(k)} AS given, count(*) FILTER (WHERE {v}) AS size_sg FROM lineitem" for k, v in _TEXTS.items()))
+def parse_selectors(spark, d):
+    sizes = S.cover_sizes(lineitem(spark, d), [S.Conjunction(S.parse_selector(x)) for x in _TEXTS])
+    names = spark.createDataFrame([(str(S.Conjunction(S.parse_selector(x))), x) for x in _TEXTS], "description string, given string")
+    return sizes.join(F.broadcast(names), "description").select("given", "size_sg")
+
+
+@register("parse_conjunction", "SELECT count(*) AS size_sg FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 10 AND l_discount >= 0.02 AND l_discount < 0.05")
+def parse_conjunction(spark, d):
+    c = S.Conjunction.from_str("l_linestatus=='F' AND l_quantity<10.0 AND l_discount: [0.02:0.05[")
+    return c.covers(lineitem(spark, d)).agg(F.count("*").alias("size_sg"))
+
+
+@register("parse_truth", "SELECT * FROM (VALUES ('true', TRUE), ('Yes', TRUE), ('no', FALSE), ('0', FALSE), ('1', TRUE)) AS v(given, truth)")
+def parse_truth(spark, d):
+    return spark.createDataFrame([(x, S.str_to_bool(x)) for x in ("true", "Yes", "no", "0", "1")], "given string, truth boolean")
+
+
+@register("custom_selector", "SELECT 'bulk' AS description, count(*) FILTER (WHERE l_quantity * l_discount > 2) AS size_sg, count(*) AS size_dataset FROM lineitem")
+def custom_selector(spark, d):
+    bulk = S.CustomSelector("bulk", F.col("l_quantity") * F.col("l_discount") > 2, ("l_quantity", "l_discount"))
+    return S.cover_sizes(lineitem(spark, d), [S.Conjunction(bulk)])
+
+
+@register("base_statistics_binary", "SELECT count(*) AS dataset, count(*) FILTER (WHERE l_returnflag = 'R') AS positives, count(*) FILTER (WHERE l_linestatus = 'F') AS size, count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'R') AS positives_sg FROM lineitem")
+def base_statistics_binary(spark, d):
+    found = S.BinaryTarget(FLAG, "R").get_base_statistics(lineitem(spark, d), S.Conjunction(S.EqualitySelector("l_linestatus", "F")))
+    return spark.createDataFrame([found], "dataset bigint, positives bigint, size bigint, positives_sg bigint")
+
+
+@register("base_statistics_numeric", "SELECT count(*) AS dataset, round(avg(o_totalprice), 4) AS mean, count(*) FILTER (WHERE o_orderstatus = 'F') AS size, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS mean_sg FROM orders")
+def base_statistics_numeric(spark, d):
+    found = S.NumericTarget("o_totalprice").get_base_statistics(table(spark, d, "orders"), S.Conjunction(S.EqualitySelector("o_orderstatus", "F")))
+    return rounded(spark.createDataFrame([found], "dataset bigint, mean double, size bigint, mean_sg double"), 4)
+
+
+@register("qf_combined", f"{sql_line(1, True)} SELECT {KEY} AS subgroup, n, p, round(2 * {std(1)} + 0.5 * {std(0.5)}, 9) AS quality FROM cells, tot")
+def qf_combined(spark, d):
+    qf = S.CombinedInterestingnessMeasure([S.WRAccQF(), S.StandardQF(0.5)], [2, 0.5])
+    return cells(line_task(spark, d, qf)).select("subgroup", "n", "p", F.round("quality", 9).alias("quality"))
+
+
+@register("overlaps_list", "WITH c AS (SELECT l_linestatus = 'F' AS a, l_tax < 0.05 AS b, l_linestatus = 'F' AND l_tax < 0.08 AS c FROM lineitem) SELECT (count(*) FILTER (WHERE a AND b)) / CAST(count(*) FILTER (WHERE a OR b) AS DOUBLE) > 0.5 AS low, greatest((count(*) FILTER (WHERE a AND b)) / CAST(count(*) FILTER (WHERE a OR b) AS DOUBLE), (count(*) FILTER (WHERE a AND c)) / CAST(count(*) FILTER (WHERE a OR c) AS DOUBLE)) > 0.5 AS high FROM c")
+def overlaps_list(spark, d):
+    df = lineitem(spark, d)
+    a, b, c = (S.Conjunction.from_str(x) for x in ("l_linestatus=='F'", "l_tax<0.05", "l_linestatus=='F' AND l_tax<0.08"))
+    return spark.createDataFrame([(S.overlaps_list(a, [b], df, 0.5), S.overlaps_list(a, [b, c], df, 0.5))], "low boolean, high boolean")
+
+
+# ---- sources, sinks, formats
+
+
+def _folder(spark) -> str:
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or "file://" + tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/catalog-{uuid.uuid4().hex[:12]}"
+
+
+_NATION = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation"
+
+
+@register("source_tsv", _NATION.replace("DOUBLE", "INT"))
+def source_tsv(spark, d):
+    path = _folder(spark)
+    table(spark, d, "nation").write.option("sep", "\t").option("header", True).csv(path)
+    return S.read_tsv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@register("source_arff", _NATION)
+def source_arff(spark, d):
+    path = _folder(spark)
+    head = spark.range(1).select(F.explode(F.array(*map(F.lit, ("@relation nation", "@attribute n_nationkey real", "@attribute n_name {names}", "@attribute n_regionkey numeric", "@data")))).alias("value"))
+    rows = table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit("'"), "n_name", F.lit("'")), F.col("n_regionkey").cast("string")).alias("value"))
+    head.unionByName(rows).write.text(path)
+    return S.read_arff(spark, path)
+
+
+@register("sink_transactions", SQL["export_transactions"])
+def sink_transactions(spark, d):
+    df, path = table(spark, d, "lineitem").select(FLAG, "l_linestatus"), _folder(spark)
+    task = S.SubgroupDiscoveryTask(df, S.FITarget(), P.create_nominal_selectors(df), S.CountQF(), K, 2)
+    S.GpGrowth().to_file(task, path)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("rows"))
+
+
+_SHOWN = f"SELECT rank, quality, array_to_string(list_sort(items), ' AND ') AS subgroup, n AS size_sg, round(p / CAST(n AS DOUBLE), 9) AS target_share_sg FROM (SELECT row_number() OVER (ORDER BY {std(1)} DESC, {KEY} DESC) AS rank, round({std(1)}, 9) AS quality, * FROM cells, tot WHERE len(items) > 0) WHERE rank <= {K}"
+
+
+@register("sink_table", f"{sql_line(2)} SELECT quality, subgroup, size_sg, target_share_sg FROM ({_SHOWN})")
+def sink_table(spark, d):
+    head, *rows = _top(spark, d).to_table(["size_sg", "target_share_sg"])
+    return rounded(spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{c} {k}" for c, k in zip(head, ("double", "string", "bigint", "double")))))
+
+
+@register("sink_descriptions", f"{sql_line(2)} SELECT rank, quality, subgroup FROM ({_SHOWN})")
+def sink_descriptions(spark, d):
+    return spark.createDataFrame([(i + 1, round(q, 9), str(x)) for i, (q, x) in enumerate(_top(spark, d).to_descriptions())], "rank bigint, quality double, subgroup string")
+
+
+@register("autoround", f"{sql_line(2)} SELECT rank, round(quality, 3) AS quality, size_sg, round(target_share_sg, 3) AS target_share_sg FROM ({_SHOWN})")
+def autoround(spark, d):
+    return _top(spark, d).to_dataframe(["size_sg", "target_share_sg"], autoround=True).drop("subgroup")
+
+
+@register("formatters", "SELECT l_returnflag, format('{:.1f}%', 100 * avg(CAST(l_linestatus = 'F' AS INT))) AS share, format('{:.2f}', avg(l_quantity)) AS quantity FROM lineitem GROUP BY 1")
+def formatters(spark, d):
+    g = table(spark, d, "lineitem").groupBy(FLAG).agg(F.avg((F.col("l_linestatus") == "F").cast("int")).alias("s"), F.avg("l_quantity").alias("q"))
+    return g.select(FLAG, R.perc_formatter("s").alias("share"), R.float_formatter("q").alias("quantity"))
+
+
+@register("bit_helpers", "SELECT c_custkey, CAST((1 << (c_custkey % 7)) | (1 << (c_custkey % 11)) AS BIGINT) AS word, array_to_string(list_sort(list_distinct([c_custkey % 7, c_custkey % 11])), ' ') AS bits, array_to_string(list_sort(list_distinct(list_filter([c_custkey % 7, c_custkey % 11], lambda x: x IN (1, 3, 5)))), ' ') AS odd FROM customer")
+def bit_helpers(spark, d):
+    places = F.array(F.col("c_custkey") % 7, F.col("c_custkey") % 11)
+    word = scalars.to_bits(places)
+    found, odd = scalars.find_set_bits(word), scalars.intersect_of_ordered_list(F.array_sort(places), F.array(*(F.lit(k).cast("long") for k in (1, 3, 5))))
+    return table(spark, d, "customer").select("c_custkey", word.alias("word"), F.array_join(found.cast("array<string>"), " ").alias("bits"), F.array_join(odd.cast("array<string>"), " ").alias("odd"))
+
+
+@register("powerset", "SELECT unnest(['', 'a', 'b', 'c', 'ab', 'ac', 'bc']) AS subset")
+def powerset(spark, d):
+    return spark.createDataFrame([("".join(x),) for x in scalars.powerset("abc", 2)], "subset string")
+
+
+@register("plot_roc_grid", "WITH g AS (SELECT (i % 11) / 10.0 AS fpr, (i // 11) / 10.0 AS tpr FROM range(121) r(i)), t AS (SELECT count(*) AS bn, sum(CAST(l_returnflag = 'R' AS BIGINT)) AS bp FROM lineitem), c AS (SELECT fpr, tpr, tpr * bp AS p, tpr * bp + fpr * (bn - bp) AS n, bn, bp FROM g, t) SELECT CAST(fpr AS DOUBLE) AS fpr, CAST(tpr AS DOUBLE) AS tpr, CASE WHEN n > 0 THEN round(n / CAST(bn AS DOUBLE) * (p / CAST(n AS DOUBLE) - bp / CAST(bn AS DOUBLE)), 9) + 0.0 END AS quality FROM c")
+def plot_roc_grid(spark, d):
+    r = table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(F.col(FLAG) == "R").alias("p")).first()
+    return rounded(R.roc_grid(spark, S.WRAccQF(), r["n"], r["p"], 10)).withColumn("quality", F.col("quality") + 0.0)

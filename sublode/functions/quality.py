@@ -9,6 +9,7 @@ such as a median, for functions that keep the target's value in the signature.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,9 +143,9 @@ class AreaQF(Quality):
 
 
 class StandardQFNumeric(Quality):
-    """n^a * (centre - centre of the dataset), by mean or median; three optimistic estimates."""
+    """n^a * (centre - centre of the dataset), by mean or median; three optimistic estimates. ``invert`` has no effect."""
 
-    def __init__(self, a: float, estimator: str = "default", centroid: str = "mean"):
+    def __init__(self, a: float, invert: bool = False, estimator: str = "default", centroid: str = "mean"):
         if not isinstance(a, (int, float)):
             raise ValueError("a must be a number")
         if centroid not in ("mean", "median", "sorted_median"):
@@ -156,7 +157,7 @@ class StandardQFNumeric(Quality):
             raise AssertionError("a median has no sum estimate")
         if centroid != "mean" and estimator == "order":
             raise NotImplementedError("a median has no order estimate")
-        self.a, self.estimator, self.centroid = a, estimator, centroid
+        self.a, self.invert, self.estimator, self.centroid = a, invert, estimator, centroid
         self.bounded = estimator != "sum" or 0 <= a <= 1
         self.keeps_value = True
 
@@ -208,7 +209,10 @@ class StandardQFNumericMedian(Quality):
 
 
 class StandardQFNumericTscore(Quality):
-    """sqrt(n) * (mean - mean of the dataset) / population deviation of the subgroup; 0 where that is 0."""
+    """sqrt(n) * (mean - mean of the dataset) / population deviation of the subgroup; 0 where that is 0. ``invert`` has no effect."""
+
+    def __init__(self, invert: bool = False):
+        self.invert = invert
 
     def constants(self, df: DataFrame, target) -> dict[str, float]:
         v = F.col(f"`{target.variable}`").cast("double")
@@ -285,8 +289,28 @@ class EMM_Likelihood(Quality):
 
 
 class CombinedInterestingnessMeasure(Quality):
-    def __init__(self, *args):
-        raise NotImplementedError("score with each function and add the columns")
+    """The weighted sum of qualities that score the same sums of a subgroup; its bound is that of its parts."""
+
+    def __init__(self, measures: list[Quality], weights: list[float] | None = None):
+        self.measures, self.weights = list(measures), [1.0] * len(measures) if weights is None else [float(w) for w in weights]
+        if not self.measures or len(self.weights) != len(self.measures):
+            raise ValueError("give a weight for each of one or more measures")
+        if any(m.keeps_value or type(m).finish is not Quality.finish for m in self.measures):
+            raise ValueError("only measures of plain sums can be combined")
+        self.bounded = all(m.bounded and w >= 0 for m, w in zip(self.measures, self.weights))
+
+    def values(self, target, const: dict) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for m in self.measures:
+            out |= m.values(target, const)
+        return out
+
+    def quality(self, const: dict) -> Column:
+        return reduce(lambda x, y: x + y, (m.quality(const) * w for m, w in zip(self.measures, self.weights)))
+
+    def optimistic(self, const: dict) -> Column | None:
+        parts = [m.optimistic(const) for m in self.measures]
+        return None if any(x is None for x in parts) else reduce(lambda x, y: x + y, (x * w for x, w in zip(parts, self.weights)))
 
 
 class CountCallsInterestingMeasure(Quality):

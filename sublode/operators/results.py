@@ -101,6 +101,15 @@ def overlap_filter(result: SubgroupDiscoveryResult, level: float = 0.9) -> list[
     return kept
 
 
+def overlaps_list(description, others: list, df: DataFrame, level: float = 0.9) -> bool:
+    """Whether a description overlaps any of the others by more than ``level``, from one aggregate over the rows."""
+    if not others:
+        return False
+    covers = df.select(description.column().alias("a"), *(d.column().alias(f"b{i}") for i, d in enumerate(others)))
+    both, either = (lambda i: F.count_if(F.col("a") & F.col(f"b{i}"))), (lambda i: F.count_if(F.col("a") | F.col(f"b{i}")))
+    return bool(covers.agg(F.greatest(F.lit(0.0), F.lit(0.0), *(F.coalesce(F.try_divide(both(i).cast("double"), either(i)), F.lit(0.0)) for i in range(len(others)))).alias("x")).first()["x"] > level)
+
+
 def bars(result: SubgroupDiscoveryResult) -> DataFrame:
     """Positive shares and relative sizes of each subgroup and its complement."""
     return result.to_dataframe(["target_share_sg", "target_share_complement", "relative_size_sg", "relative_size_complement"])

@@ -174,7 +174,7 @@ class DFSNumeric(_Exhaustive):
         if not isinstance(task.qf, Q.StandardQFNumeric):
             raise RuntimeError("DFSNumeric needs StandardQFNumeric")
         if task.qf.centroid == "mean":
-            qf = Q.StandardQFNumeric(task.qf.a, "order")
+            qf = Q.StandardQFNumeric(task.qf.a, estimator="order")
             task = SubgroupDiscoveryTask(task.data, task.target, task.search_space, qf, task.result_set_size, task.depth, task.min_quality, task.constraints)
         return super().execute(task, use_optimistic_estimates)
 

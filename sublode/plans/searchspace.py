@@ -13,9 +13,11 @@ from ..functions.selectors import EqualitySelector, IntervalSelector, Selector
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder; one of our own where none is set."""
+    """The rows in the checkpoint folder; in local mode one of our own where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return df.checkpoint()
 
