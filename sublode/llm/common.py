@@ -43,14 +43,17 @@ def ship(spark: SparkSession) -> None:
     _shipped[sc] = sc.applicationId
 
 
+_own: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
