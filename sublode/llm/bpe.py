@@ -24,7 +24,7 @@ from array import array
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, ship, text_bytes
+from .common import map_rows, ship, text_bytes, worker_state
 
 #: Limits of a worker's tables: transitions, neighbour checks, pieces.
 MAX_TRANSITIONS = 200_000
@@ -267,13 +267,9 @@ def decode(ids: bytes, bytes_of, chunk: int = 1 << 14):
     yield stream.close()
 
 
-_workers: dict[tuple[str, str], Encoder] = {}
-
-
 def worker_encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _workers:
-        _workers[path, pattern] = Encoder(path, pattern)
-    return _workers[path, pattern]
+    """The encoder that a Python worker keeps between its tasks."""
+    return worker_state("bpe", (path, pattern), lambda: Encoder(path, pattern))
 
 
 def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

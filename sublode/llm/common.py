@@ -43,6 +43,25 @@ def ship(spark: SparkSession) -> None:
     _shipped[sc] = sc.applicationId
 
 
+_kept: dict = {}
+
+
+def worker_state(name: str | None, key=None, make: Callable | None = None):
+    """What a Python worker keeps between its tasks, of one operator at a time: another name's is dropped first.
+
+    Workers outlive stages; without this each would hold the caches of every operator that it has run.
+    """
+    if name not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+    if name is None:
+        return None
+    own = _kept.setdefault(name, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
 _own: dict = {}
 
 

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, ship, text_bytes
+from .common import map_rows, materialize, ship, text_bytes, worker_state
 
 WINDOW = 10
 #: Benchmark words that are broadcast at once; larger benchmarks are searched block by block.
 BLOCK_WORDS = 500_000
 #: Words of training text in one index shard, and documents, at most (a longer document is a shard alone).
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 SHARD_DOCS = 2_000
 #: Candidate places that are intersected at once.
 CHUNK = 1 << 20
@@ -106,6 +106,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        worker_state(None)
         numbers = count(TaskContext.get().partitionId() << 32)
 
         def flush():

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, materialize, ship, text_bytes
+from .common import map_rows, materialize, ship, text_bytes, worker_state
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -167,6 +167,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SH
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
+        worker_state(None)
         for batch in batches:
             cols = [batch.column(i).to_pylist() if i in (text, chars) else batch.column(i) for i in range(len(names))]
             keep = []

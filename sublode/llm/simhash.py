@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, map_rows, materialize, ship, text_bytes
+from .common import join_null_safe, map_rows, materialize, ship, text_bytes, worker_state
 from .components import connected
 
 SEED = 42
@@ -392,6 +392,7 @@ def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int =
     masks = wide_masks(max_diff)
 
     def rows(c: dict) -> dict:
+        worker_state(None)
         got = np.array([fingerprint(b, mark) for b in c["data"]], np.uint64).astype(np.int64)
         return {"doc_id": c["doc_id"], "key": c["key"], "fp": pa.array(got), "data": c["data"]}
 

@@ -102,7 +102,10 @@ class Counted:
     def present(self, text: str) -> set[int]:
         """The feature numbers of a text."""
         self.room()
-        words = self.words(text)
+        words = set(text.lower().replace(".", " ").replace(",", " ").split())
+        odd = [w for w in words if not w.isalnum()]
+        words.difference_update(odd)
+        words.update(x for w in odd for x in _WORD.findall(w))
         out = set().union(*map(self.known.__getitem__, {w[:HEAD] for w in words}))
         out.update(map(self.number.get, [w for w in words if len(w) >= HEAD]))
         out.discard(None)
@@ -155,19 +158,25 @@ class BlockMaxIndex:
         dense[who[wide], column[wide]] = weight[wide]
         first, size = self.at[term[~wide]], np.diff(self.at)[term[~wide]]
         entry = np.repeat(first - np.append(0, np.cumsum(size))[:-1], size) + np.arange(int(size.sum()))
-        scores = np.bincount(np.repeat(who[~wide], size) * width + self.docs[entry], self.weights[entry] * np.repeat(weight[~wide], size), m * width).reshape(m, width).astype(np.float64)
+        scores = np.bincount(np.repeat(who[~wide] * width, size) + self.docs[entry], self.weights[entry] * np.repeat(weight[~wide], size), m * width).reshape(m, width).astype(np.float64)
         rare, close = scores.copy(), dense.astype(np.float32)
         bound = scores.reshape(m, self.n_blocks, self.block).max(2) + close @ self.maxima.T
         opened, least = np.zeros((m, self.n_blocks), bool), np.zeros(m)
+        scored = np.zeros_like(opened)
         order = np.argsort(-bound, axis=1, kind="stable")
-        step = max(1, -(-k // self.block))  # enough blocks for k examples, then three times as many, then all that can still matter
-        for upto in (step, 3 * step, self.n_blocks):
+        step = 4 * max(1, -(-k // self.block))  # blocks that are sure to hold k examples, then all that can still matter
+        for upto in (step, self.n_blocks):
             open_ = np.zeros_like(opened)
             np.put_along_axis(open_, order[:, :upto], True, 1)
             open_ &= ~opened & (bound >= least[:, None] - SLACK) & (bound > 0)
             for b in np.flatnonzero(open_.any(0)):
-                here, own = np.flatnonzero(open_[:, b]), slice(b * self.block, (b + 1) * self.block)
-                scores[here, own] += close[here] @ self.short[own].T
+                own, here = slice(b * self.block, (b + 1) * self.block), np.flatnonzero(open_[:, b] & ~scored[:, b])
+                if len(here) * 2 > m and not scored[:, b].any():  # cheaper for all rows at once; a closed block stays unused
+                    scores[:, own] += close @ self.short[own].T
+                    scored[:, b] = True
+                elif len(here):
+                    scores[here, own] += close[here] @ self.short[own].T
+                    scored[here, b] = True
             opened |= open_
             seen = np.where(np.repeat(opened, self.block, 1), scores, 0.0)
             if without is not None:

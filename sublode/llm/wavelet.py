@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, read_stream, ship, text_bytes, write_once
+from .common import new_path, read_stream, ship, text_bytes, worker_state, write_once
 
 END_ID = 2
 SHARD_IDS = 1_000_000
@@ -37,7 +37,7 @@ MAGIC = b"WVM2"
 #: Bits of a plane that are compressed together; ones are counted up to each block.
 BLOCK_BITS = 1 << 16
 #: Distinct words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 320_000
 #: Bytes of texts that are encoded at once.
 BATCH_BYTES = 1_000_000
 
@@ -159,14 +159,9 @@ class CachedEncoder:
         return np.frombuffer(b"".join(data), self.dtype), np.array([len(x) // wide for x in data], np.int64)
 
 
-_workers: dict[str, CachedEncoder] = {}
-
-
 def worker_encoder(path: str) -> CachedEncoder:
     """The encoder that a Python worker keeps between its tasks."""
-    if path not in _workers:
-        _workers[path] = CachedEncoder(path)
-    return _workers[path]
+    return worker_state("words", path, lambda: CachedEncoder(path))
 
 
 _zstd = pa.Codec("zstd", 1)
