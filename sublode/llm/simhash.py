@@ -45,7 +45,7 @@ NEAREST = (4, 32, 0)
 #: Bits of the levels under an upper node's 35 fixed bits.
 LEVELS = (6, 6, 6, 6, 5)
 #: Node pairs that are expanded at once.
-CHUNK = 2_000_000
+CHUNK = 300_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
