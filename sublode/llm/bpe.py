@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from .common import map_rows, ship, text_bytes, worker_state
 
 #: Limits of a worker's tables: transitions, neighbour checks, pieces.
-MAX_TRANSITIONS = 200_000
-MAX_PAIRS = 200_000
-MAX_PIECES = 100_000
+MAX_TRANSITIONS = 500_000
+MAX_PAIRS = 500_000
+MAX_PIECES = 300_000
 #: Bits of a token in a transition's number, and bytes after which certain tokens of a long piece are emitted.
 TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
