@@ -5,10 +5,14 @@ of bounded size; the other words of a text meet their counts in a join, so base
 from the word counts. The model factors a subword's probability in three: its group's and its class's within the group,
 which attention over the preceding subwords gives, and its share of the class's count. Frequent subwords are classes of
 their own, the others are grouped by like neighbours. Texts are cut into overlapping windows of ``WINDOW`` ids whose
-first ``CONTEXT`` positions are context only, so each id is scored once, in batches. Neighbours and attention weights
-are learnt from windows drawn by hash from all places of all training texts, ``TRAIN_WINDOWS`` of them in
-``TRAIN_BYTES`` of text; their number grows as the cube root of the text's size, each is seen about once, so the steps
-grow with it. The driver holds them while it trains: 13 MB for 1 GB of text, 600 MB for 100 TB.
+first ``CONTEXT`` positions are context only, so each id is scored once, in batches.
+
+Everything is learnt from every training text: word and subword counts, the neighbours that make the classes, and the
+weights. Texts are encoded once, into a table that training and scoring read. The workers train on all windows of all
+training texts: each task goes through its share from the same starting point, and the weights are the mean over tasks,
+by windows. The starting point comes from the driver, which fits windows drawn by hash from all places of all training
+texts, about ``TRAIN_WINDOWS`` in ``TRAIN_BYTES`` of text, their number growing as the cube root of the text's size:
+13 MB for 1 GB of text, 600 MB for 100 TB.
 
 Defined edge cases: a null text is empty, that is one end token; without training documents N and V are 0, every base
 term is log10(1 / 1) = 0, and the model is uniform over subwords; rows that repeat a doc_id, or have none, are scored
@@ -17,16 +21,18 @@ each; very long texts are taken whole; other columns, whatever their names, are
 
 from __future__ import annotations
 
+import copy
+import ctypes
 import math
 from collections import Counter
 from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_bytes
+from .common import materialize, ship, text_bytes, worker_state
 from .wavelet import END_ID, CachedEncoder, worker_encoder
 
 HEAD_WORDS = 150_000
@@ -45,6 +51,12 @@ WINDOW = 32
 CONTEXT = 8
 STEPS = 400
 BATCH = 96
+#: Windows of a step of the pass over all texts, its rate, and the windows that are mixed before they are dealt into steps.
+PASS_BATCH = 512
+PASS_RATE = 0.002
+PASS_MIX = 16_384
+#: Weights are added up as whole numbers of this unit, so that a sum does not depend on its order.
+UNIT = 2.0**-24
 #: Frequent ids whose places beside an id make its class.
 NEAR = 48
 #: What stands in a window where its text has no id.
@@ -82,9 +94,13 @@ class AttentionModel:
         self.start = n - 1
 
     def set_classes(self, windows: np.ndarray, rounds: int = 6) -> None:
-        """Classes and groups of ids by the frequent ids beside them in drawn windows; groups' classes stand together."""
+        """Classes and groups of ids by the frequent ids beside them in windows."""
+        self.group_ids(neighbour_table(self.counts, windows), rounds)
+
+    def group_ids(self, beside: np.ndarray, rounds: int = 6) -> None:
+        """Classes and groups of ids by their rows of a neighbour table; groups' classes stand together."""
         order = np.argsort(-self.counts, kind="stable")
-        single, x = order[:SINGLE], neighbour_table(self.counts, windows).astype(np.float64)
+        single, x = order[:SINGLE], beside.astype(np.float64)
         seen = x.sum(1)
         x = np.sqrt(x / np.maximum(seen[:, None], 1))
         alone = np.isin(np.arange(len(self.counts)), single)
@@ -125,26 +141,6 @@ class AttentionModel:
             group[c], room[g] = g, room[g] - 1
         return group
 
-    def _forward(self, rows: np.ndarray) -> dict[str, np.ndarray]:
-        p, v = self.p, {}
-        v["X"] = p["E"][rows] + p["P"]
-        for k in "QKV":
-            v[k] = v["X"] @ p[k]
-        s = v["Q"] @ v["K"].transpose(0, 2, 1) / math.sqrt(WIDTH) + _MASK
-        e = np.exp(s - s.max(-1, keepdims=True))
-        v["A"] = e / e.sum(-1, keepdims=True)
-        v["AV"] = v["A"] @ v["V"]
-        v["H"] = v["X"] + v["AV"] @ p["O"]
-        return v
-
-    def _by_group(self, target: np.ndarray):
-        """For each group with targets: the group, the places of its targets, its classes."""
-        group = self.group[target]
-        order = np.argsort(group, kind="stable")
-        at = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(at)).tolist():
-            yield g, order[at[g] : at[g + 1]], slice(self.first[g], self.first[g + 1])
-
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target class's probability from its vector. Targets are taken group by group."""
         p, out, group = self.p, np.empty(len(h), h.dtype), self.group[target].astype(np.uint8)
@@ -164,46 +160,67 @@ class AttentionModel:
         return out
 
     def gradients(self, rows: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the used positions, and its gradients."""
-        p, v, n = self.p, self._forward(rows), max(1, int(use.sum()))
-        flat = lambda x: x.reshape(-1, x.shape[-1])
+        """Mean loss over the used positions, and its gradients, in the precision of the weights.
+
+        Logits are kept under 60, as in scoring. Positions are taken group by group.
+        """
+        p, shape, scale = self.p, rows.shape, 1 / math.sqrt(WIDTH)
+        both = np.concatenate([p["Q"] * p["Q"].dtype.type(scale), p["K"], p["V"]], axis=1)
+        x = (p["E"][rows] + p["P"]).reshape(-1, WIDTH)
+        qkv = (x @ both).reshape(*shape, 3 * WIDTH)
+        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        a += _MASK
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, shape[1]) @ np.ones(shape[1], a.dtype)).reshape(*shape, 1)
+        av = (a @ v).reshape(-1, WIDTH)
         where = np.flatnonzero(use.ravel())
-        h, t = flat(v["H"])[where], target.ravel()[where]
-        z = h @ p["U"] + p["b"]
-        z -= z.max(-1, keepdims=True)
-        q = np.exp(z)
-        q /= q.sum(-1, keepdims=True)
-        every, loss = np.arange(len(t)), 0.0
-        loss -= np.log(q[every, self.group[t]]).sum()
-        q[every, self.group[t]] -= 1
-        q /= n
-        g = {"U": h.T @ q, "b": q.sum(0), "W": np.zeros_like(p["W"]), "c": np.zeros_like(p["c"])}
-        dh_used = q @ p["U"].T
-        for _, at, own in self._by_group(t):
-            z = h[at] @ p["W"][:, own] + p["c"][own]
-            z -= z.max(-1, keepdims=True)
-            q = np.exp(z)
-            q /= q.sum(-1, keepdims=True)
-            mine = (np.arange(len(at)), t[at] - own.start)
-            loss -= np.log(q[mine]).sum()
-            q[mine] -= 1
-            q /= n
-            g["W"][:, own], g["c"][own] = h[at].T @ q, q.sum(0)
-            dh_used[at] += q @ p["W"][:, own].T
-        dh = np.zeros_like(v["H"])
-        flat(dh)[where] = dh_used
-        g["O"] = flat(v["AV"]).T @ flat(dh)
-        dav = dh @ p["O"].T
-        da, dv = dav @ v["V"].transpose(0, 2, 1), v["A"].transpose(0, 2, 1) @ dav
-        ds = v["A"] * (da - (da * v["A"]).sum(-1, keepdims=True)) / math.sqrt(WIDTH)
-        dq, dk = ds @ v["K"], ds.transpose(0, 2, 1) @ v["Q"]
-        dx = dh.copy()
-        for k, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[k] = flat(v["X"]).T @ flat(d)
-            dx += d @ p[k].T
-        g["P"] = dx.sum(0)
+        group = self.group[target.ravel()[where]].astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        where, group = where[order], group[order]
+        t, at, n = target.ravel()[where], np.searchsorted(group, np.arange(GROUPS + 1)).tolist(), max(1, len(where))
+        h = (x + av @ p["O"])[where]
+
+        def softmax(h, weights, bias, own):
+            """The loss of the own outputs, and the gradient of each logit."""
+            z = _logits(h, weights, bias)
+            every = np.arange(len(z))
+            loss = -z[every, own].sum(dtype=np.float64)
+            np.exp(z, out=z)
+            sums = z @ np.ones(z.shape[1], z.dtype)
+            z /= sums[:, None]
+            z[every, own] -= 1
+            z /= n
+            return loss + np.log(sums).sum(dtype=np.float64), z
+
+        loss, z = softmax(h, p["U"], p["b"], group)
+        g = {"U": h.T @ z, "b": z.sum(0), "W": np.zeros_like(p["W"]), "c": np.zeros_like(p["c"])}
+        dh_used = z @ p["U"].T
+        for i, j, first, last in zip(at, at[1:], self.first.tolist(), self.first[1:].tolist()):
+            if i < j:
+                more, z = softmax(h[i:j], p["W"][:, first:last], p["c"][first:last], t[i:j] - first)
+                loss += more
+                g["W"][:, first:last], g["c"][first:last] = h[i:j].T @ z, z.sum(0)
+                dh_used[i:j] += z @ p["W"][:, first:last].T
+        dx = np.zeros_like(x)
+        dx[where] = dh_used
+        g["O"] = av.T @ dx
+        dav = dx @ p["O"].T
+        ds = dav.reshape(*shape, WIDTH) @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ij,ij->i", dav, av).reshape(*shape, 1)
+        ds *= a
+        back = (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dav.reshape(*shape, WIDTH))
+        d = np.concatenate(back, axis=2).reshape(-1, 3 * WIDTH)
+        g["Q"], g["K"], g["V"] = np.split(x.T @ d, 3, axis=1)
+        g["Q"] = g["Q"] * g["Q"].dtype.type(scale)
+        dx += d @ both.T
+        g["P"] = dx.reshape(*shape, WIDTH).sum(0)
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], rows, dx)
+        order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")
+        own = rows.ravel()[order]
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        g["E"][own[at]] = np.add.reduceat(dx[order], at)
         return loss / n, g
 
     def fit(self, drawn: np.ndarray, steps: int = STEPS, seed: int = 0) -> list[float]:
@@ -211,38 +228,56 @@ class AttentionModel:
         rng, losses = np.random.default_rng(seed), []
         if not len(drawn):
             return losses
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         row = np.append(self.row, np.full(NONE + 1 - len(self.row), self.start))
-        m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        step = Adam(self)
         for t in range(1, steps + 1):
             pick = drawn[rng.integers(0, len(drawn), BATCH)]
             target = pick[:, 1:]
             use = (target != NONE) & (np.arange(WINDOW) >= CONTEXT)
             loss, g = self.gradients(row[pick[:, :-1]], self.cls[np.where(use, target, 0)], use)
             losses.append(loss)
-            rate = 0.02 * min(1, t / 20) * (1 - 0.9 * t / steps)
-            for k in self.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.98 * s[k] + 0.02 * g[k] ** 2
-                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.98**t)) + 1e-8)
+            step(g, 0.02 * min(1, t / 20) * (1 - 0.9 * t / steps))
         return losses
 
+    def learn(self, texts, seed: int = 0) -> int:
+        """Goes once through all windows of encoded texts, an iterable of ids and lengths; the number of windows.
+
+        Each id is a target once. Windows are mixed within PASS_MIX of them.
+        """
+        rng, step, done, held, n_held = np.random.default_rng(seed), Adam(self), 0, [], 0
+
+        def steps():
+            rows, target, use = (np.concatenate(x) for x in zip(*held))
+            order = rng.permutation(len(rows))
+            for at in range(0, len(order), PASS_BATCH):
+                pick = order[at : at + PASS_BATCH]
+                step(self.gradients(rows[pick], self.cls[target[pick]], use[pick])[1], PASS_RATE * len(pick) / PASS_BATCH)
+            return len(order)
+
+        for ids, lengths in texts:
+            held.append(self._cut(ids, lengths, WINDOW, 0)[:3])
+            n_held += len(held[-1][0])
+            if n_held >= PASS_MIX:
+                done, held, n_held = done + steps(), [], 0
+        return done + (steps() if n_held else 0)
+
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, target ids and scored positions of all windows of the texts."""
         got = [self._cut(np.concatenate(texts), np.array([len(x) for x in texts]))] if texts else []
         return got[0][:3] if got else (np.zeros((0, WINDOW), np.int64),) * 3
 
-    def _cut(self, ids: np.ndarray, lengths: np.ndarray):
-        stride = WINDOW - CONTEXT
+    def _cut(self, ids: np.ndarray, lengths: np.ndarray, stride: int = WINDOW - CONTEXT, lead: int = CONTEXT):
         n = -(-lengths // stride)
         text = np.repeat(np.arange(len(lengths)), n)
         first = np.cumsum(lengths) - lengths
         k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        at = (k * stride - CONTEXT)[:, None] + np.arange(WINDOW)
+        at = (k * stride - lead)[:, None] + np.arange(WINDOW)
         inside = (at >= 0) & (at < lengths[text][:, None])
         place = np.clip(first[text][:, None] + at, 0, max(0, len(ids) - 1))
         before = (at >= 1) & (at <= lengths[text][:, None])
         rows = np.where(before, self.row[ids[np.clip(place - 1, 0, None)]], self.start)
-        use = inside & (np.arange(WINDOW) >= CONTEXT)
+        use = inside & (np.arange(WINDOW) >= lead)
         return rows, ids[place], use, text
 
     def freeze(self) -> None:
@@ -278,6 +313,22 @@ class AttentionModel:
         return np.bincount(text, out, len(lengths)) / math.log(10)
 
 
+class Adam:
+    """Steps of a model's weights down their gradients."""
+
+    def __init__(self, model: AttentionModel):
+        self.model, self.t = model, 0
+        self.m, self.s = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+
+    def __call__(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        m, s, p = self.m, self.s, self.model.p
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            s[k] = 0.98 * s[k] + 0.02 * g[k] ** 2
+            p[k] = p[k] - rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(s[k] / (1 - 0.98**self.t)) + 1e-8)
+
+
 def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = h @ weights
     z += bias
@@ -298,13 +349,95 @@ _ONES = np.ones(WINDOW, np.float32)
 
 def neighbour_table(counts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """How often each of the NEAR most frequent ids, or any other, stands before and after an id in the windows."""
-    place, cells = np.zeros(NONE + 1, np.int64), 2 * (NEAR + 1)
-    place[np.argsort(-counts, kind="stable")[:NEAR]] = np.arange(1, min(NEAR, len(counts)) + 1)
     a, b = windows[:, :-1].ravel().astype(np.int64), windows[:, 1:].ravel().astype(np.int64)
     both = (a != NONE) & (b != NONE)
-    a, b = a[both], b[both]
-    n = len(counts) * cells
-    return (np.bincount(b * cells + place[a], minlength=n) + np.bincount(a * cells + NEAR + 1 + place[b], minlength=n)).reshape(len(counts), cells)
+    return _beside(near_places(counts), a[both], b[both], len(counts))
+
+
+def near_places(counts: np.ndarray) -> np.ndarray:
+    """The number of each id among the NEAR most frequent, from 1; 0 for others."""
+    place = np.zeros(NONE + 1, np.int64)
+    place[np.argsort(-counts, kind="stable")[:NEAR]] = np.arange(1, min(NEAR, len(counts)) + 1)
+    return place
+
+
+def _beside(place: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    cells = 2 * (NEAR + 1)
+    n = size * cells
+    return (np.bincount(b * cells + place[a], minlength=n) + np.bincount(a * cells + NEAR + 1 + place[b], minlength=n)).reshape(size, cells)
+
+
+def ids_of(batches, room: int = 1_000_000):
+    """All ids and each text's number of ids, of texts of about ``room`` ids at a time; batches have the ids' bytes."""
+    held, left = [], room
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            held.append(x)
+            left -= len(x) // 2
+            if left <= 0:
+                yield np.frombuffer(b"".join(held), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held], np.int64)
+                held, left = [], room
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held], np.int64)
+
+
+def neighbours(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The neighbour table of all encoded texts. Few tasks add up large shares, so that few cells are shuffled."""
+    place, size = near_places(counts), len(counts)
+
+    def run(batches):
+        worker_state(None)
+        sums = np.zeros(size * 2 * (NEAR + 1), np.int64)
+        for flat, lengths in ids_of(batches):
+            same = np.ones(len(flat), bool)
+            same[np.cumsum(lengths)[:-1]] = False
+            same = np.flatnonzero(same[1:])
+            sums += _beside(place, flat[same], flat[same + 1], size).ravel()
+        at = np.flatnonzero(sums)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(sums[at[i : i + 100_000]])], ["cell", "n"])
+
+    parts = ids.rdd.getNumPartitions()
+    few = ids.coalesce(max(1, min(parts, max(ids.sparkSession.sparkContext.defaultParallelism, parts // 8))))
+    got = few.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * 2 * (NEAR + 1), np.int64)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(size, -1)
+
+
+def train(model: AttentionModel, ids: DataFrame) -> int:
+    """Trains a model on all windows of all encoded texts: the mean of the tasks' weights, by windows. Their number."""
+    names = list(model.p)
+    weights = lambda m: np.concatenate([m.p[k].ravel() for k in names]).astype(np.float64)
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        worker_state(None)
+        hold_memory()
+        own = copy.copy(shared.value)
+        own.p = {k: x.astype(np.float32) for k, x in own.p.items()}
+        done = own.learn(ids_of(batches), TaskContext.get().partitionId())
+        if done:
+            flat = weights(own) - weights(shared.value)
+            whole = np.append(np.rint(flat * (done / UNIT)).astype(np.int64), done)
+            for i in range(0, len(whole), 100_000):
+                part = whole[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part)], ["place", "n"])
+
+    start = weights(model)
+    got = ids.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    if not len(got):
+        return 0
+    sums = np.zeros(len(start) + 1, np.int64)
+    sums[got["place"].to_numpy()] = got["n"].to_numpy()
+    flat, at = start + sums[:-1] * (UNIT / sums[-1]), 0
+    for k in names:
+        shape, n = model.p[k].shape, model.p[k].size
+        model.p[k] = flat[at : at + n].reshape(shape)
+        at += n
+    return int(sums[-1])
 
 
 def draw_places(n_words: int, mark: int, share: float) -> list[int]:
@@ -345,7 +478,7 @@ def batches_of(data: list[bytes], room: int = 400_000):
 
 
 def train_share(size: int) -> float:
-    """The share of places where windows are drawn from training texts of so many bytes, at about 6.5 a word."""
+    """The share of places whose windows the driver starts from, in training texts of so many bytes, at about 6.5 a word."""
     windows = TRAIN_WINDOWS * max(1.0, size / TRAIN_BYTES) ** (1 / 3)
     return min(1.0, windows * STRIDE_WORDS * 6.5 / max(size, 1))
 
@@ -408,13 +541,49 @@ def head_of(counts: DataFrame, limit: int = HEAD_WORDS) -> dict[bytes, int]:
     return {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") >= bound).collect()} if bound is not None else {}
 
 
+TEXT = "doc_id long, train boolean, data binary, ids binary"
+
+
+def encoded(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """Texts (doc_id, train, data) with the bytes of their 16-bit ids."""
+
+    def run(batches):
+        encoder = worker_encoder(tokenizer)
+        for batch in batches:
+            data, out = batch.column(2).to_pylist(), []
+            for i, j in batches_of(data):
+                ids, lengths = encoder.encode_batch(data[i:j])
+                raw, ends = ids.astype(np.uint16).tobytes(), (2 * np.cumsum(lengths)).tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], [x.split(" ")[0] for x in TEXT.split(", ")])
+
+    return texts.select("doc_id", "train", "data").mapInArrow(run, TEXT)
+
+
+def hold_memory() -> None:
+    """Lets glibc keep up to 64 MB of freed memory, so that arrays of a few MB are not mapped anew at each step."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 ROW = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<binary>, times array<long>"
 
 
-def lm_scores(docs: DataFrame, training: DataFrame, tokenizer: str, head_words: int = HEAD_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score; ``training`` are the texts to learn from."""
+def lm_scores(docs: DataFrame, training: DataFrame | Column, tokenizer: str, head_words: int = HEAD_WORDS) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``training`` are the texts to learn from: a table, or a condition on the documents, which are then encoded once.
+    """
     spark = docs.sparkSession
     ship(spark)
+    own = isinstance(training, Column)
+    texts = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("train") if own else F.lit(False).alias("train"), text_bytes().alias("data"))
+    if own:
+        training = docs.filter(training)
     gathered = materialize(gather(training, tokenizer), "gathered")
     counts = materialize(gathered.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -425,24 +594,29 @@ def lm_scores(docs: DataFrame, training: DataFrame, tokenizer: str, head_words:
     sub[END_ID] += n_docs
     drawn = sorted(bytes(r["drawn"]) for r in gathered.filter("word IS NULL").select("drawn").toLocalIterator())
     drawn = np.frombuffer(b"".join(drawn), np.uint16).reshape(-1, WINDOW + 1)
+    texts = materialize(encoded(texts, tokenizer), "texts")
+    learnt = texts.filter("train") if own else materialize(encoded(training.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("train"), text_bytes().alias("data")), tokenizer).select("ids"), "ids")
     model = AttentionModel(sub)
-    model.set_classes(drawn)
+    model.group_ids(neighbours(learnt.select("ids"), model.counts))
     model.fit(drawn, max(STEPS, len(drawn) // BATCH))
+    train(model, learnt.select("ids"))
     model.freeze()
     shared = spark.sparkContext.broadcast((model, head, n_docs))
 
     def run(batches):
         from pyspark import TaskContext
 
-        (model, head, ends), encoder = shared.value, worker_encoder(tokenizer)
+        worker_state(None)
+        hold_memory()
+        model, head, ends = shared.value
         at = TaskContext.get().partitionId() << 36
         place = {w: i for i, w in enumerate(head)}
         logs_of, get = np.log10(np.fromiter(head.values(), np.float64, len(head)) + 1), place.get
         for batch in batches:
-            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, data, raw = (x.to_pylist() for x in batch.columns)
             for i, j in batches_of(data):
                 out = []
-                ids, lengths = encoder.encode_batch(data[i:j])
+                ids, lengths = np.frombuffer(b"".join(raw[i:j]), np.uint16), np.array([len(x) // 2 for x in raw[i:j]], np.int64)
                 for name, b in zip(names[i:j], data[i:j]):
                     words = b.lower().split()
                     found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
@@ -458,7 +632,7 @@ def lm_scores(docs: DataFrame, training: DataFrame, tokenizer: str, head_words:
                 cols += [pa.array(model.score(ids.astype(np.int64), lengths)), pa.array(c[5], pa.list_(pa.binary())), pa.array(c[6], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in ROW.split(", ")])
 
-    rows = materialize(docs.select("doc_id", text_bytes().alias("data")).mapInArrow(run, ROW), "scores")
+    rows = materialize(texts.select("doc_id", "data", "ids").mapInArrow(run, ROW), "scores")
     rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))
     found = rest.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more_logs"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)

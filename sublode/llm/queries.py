@@ -63,7 +63,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    out = lm_scores(docs, docs.filter(~held), public_tokenizers.path("word_bpe_49k.json"))
+    out = lm_scores(docs, ~held, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

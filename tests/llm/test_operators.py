@@ -372,6 +372,38 @@ def test_lm_learns_from_whole_texts(spark):
     assert lm.train_share(10) == 1 and lm.train_share(10**12) * 10**12 > 8 * lm.train_share(10**9) * 10**9
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Neighbours and weights come from all training texts, also where the driver starts from no window at all."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words[(i + k) % 40] for k in range(90)) + " ünï" * (i % 3)) for i in range(600)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = lm.encoded(train.selectExpr("doc_id", "true AS train", "CAST(text AS binary) AS data"), WORD).select("ids").localCheckpoint()
+    flat = [np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int64) for r in ids.collect()]
+    encoder = wavelet.CachedEncoder(WORD)
+    assert sorted(map(tuple, flat)) == sorted(tuple(encoder.encode_batch([t.encode()])[0].tolist()) for _, t in rows)
+    counts = np.bincount(np.concatenate(flat), minlength=lm.IDS)
+    want = sum(lm.neighbour_table(counts, x[None, :]) for x in flat[:20])
+    some = spark.createDataFrame([(bytes(x.astype(np.uint16).tobytes()),) for x in flat[:20]], "ids binary").repartition(3)
+    assert (lm.neighbours(some, counts) == want).all()
+    model = lm.AttentionModel(counts)
+    model.group_ids(lm.neighbours(ids, counts))
+    before, texts = {k: x.copy() for k, x in model.p.items()}, model.windows(flat[:5])
+    loss = lambda: model.gradients(texts[0], model.cls[texts[1]], texts[2])[0]
+    first = loss()
+    assert lm.train(model, ids) == sum(-(-len(x) // lm.WINDOW) for x in flat)
+    assert loss() < first - 0.01 and all((model.p[k] != before[k]).any() for k in before)
+    assert lm.train(model, ids.limit(0)) == 0
+    monkeypatch.setattr(lm, "train_share", lambda size: 0.0)
+    trained = lm.lm_scores(train, train, WORD)
+    same = lm.lm_scores(train, F.col("doc_id") >= 0, WORD)
+    monkeypatch.setattr(lm, "train", lambda model, ids: 0)
+    start = lm.lm_scores(train, train, WORD)
+    total = lambda t: t.agg(F.sum("score")).first()[0]
+    assert total(trained) > total(start) + 100 and total(same) > total(start) + 100
+
+
 def test_quality(docs, texts, empty):
     got = by_id(quality.quality(docs, min_docs=5, share=0.0))
     for i, t in enumerate(texts):
