@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
@@ -121,6 +121,25 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+#: Hash values that a bitmap of keys tells apart; it has at most 1 MB.
+MARKED = 1 << 23
+
+
+def marked(docs: DataFrame, keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """The documents with a truth value ``name``: false only for those whose ``key``, a hash, is not among ``keys.text_key``.
+
+    The bitmap is broadcast in pieces of 4 KB, so the documents are not shuffled.
+    """
+    place = lambda x: F.pmod(x, F.lit(MARKED))
+    own = keys.select(place(F.col("text_key")).alias("_p"))
+    maps = own.groupBy(F.bitmap_bucket_number("_p").alias(f"{name}_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias(f"{name}_m"))
+    out = docs.withColumn(f"{name}_p", place(key)).withColumn(f"{name}_b", F.bitmap_bucket_number(f"{name}_p")).join(F.broadcast(maps), f"{name}_b", "left")
+    bit = F.bitmap_bit_position(f"{name}_p")
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return out.withColumn(name, hit).drop(f"{name}_p", f"{name}_b", f"{name}_m")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on one column, where null matches null; the key of the right side goes, its other columns must be new names."""
     other = right.withColumnRenamed(key, f"_right_{key}")

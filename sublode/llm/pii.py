@@ -19,12 +19,13 @@ their names, are ignored and pass through ``redact``.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import marked, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the method adds may be a secret too.
@@ -180,7 +181,10 @@ def span_text(found: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
+    """The documents with every span replaced by its kind in brackets; overlapping spans become one, of the first kind.
+
+    Only documents that a bitmap of the changed ones marks are joined with their spans.
+    """
     rows, found = spans(docs)
     place = Window.partitionBy("row").orderBy("start", "kind")
     before = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
@@ -189,13 +193,16 @@ def redact(docs: DataFrame) -> DataFrame:
     one = one.withColumn("from", F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0)))
     each = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias("_cuts"))
     keys = materialize(rows.join(each, "row").groupBy("doc_id", "text_key").agg(F.first("_cuts").alias("cuts")), "cuts")
-    given, text, cuts = docs.alias("_given"), F.col("_given.text").cast("string"), F.col("_found.cuts")
-    name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in ALL_KINDS)), k + 1)
-    part = F.transform(cuts, lambda c: F.concat(F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), name(c["kind"])))
+    name = f"_hit_{uuid.uuid4().hex}"
+    every = marked(docs, keys, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), name)
+    given, text, cuts = every.filter(name).alias("_given"), F.col("_given.text").cast("string"), F.col("_found.cuts")
+    word = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in ALL_KINDS)), k + 1)
+    part = F.transform(cuts, lambda c: F.concat(F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), word(c["kind"])))
     tail = F.substring(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
     match = F.col("_given.doc_id").eqNullSafe(F.col("_found.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_found.text_key"))
     changed = F.concat(F.array_join(part, ""), tail)
     new = {"text": F.when(cuts.isNull(), F.col("_given.text")).otherwise(changed).alias("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cuts.isNull(), F.col("_given.n_chars")).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    return given.join(keys.alias("_found"), match, "left").select(*(new.get(c, F.col(f"_given.`{c}`")) for c in docs.columns))
+    changed_rows = given.join(keys.alias("_found"), match, "left").select(*(new.get(c, F.col(f"_given.`{c}`")) for c in docs.columns))
+    return every.filter(~F.col(name)).select(*docs.columns).unionByName(changed_rows)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, map_rows, materialize, ship, text_bytes, worker_state
+from .common import join_null_safe, map_rows, marked, materialize, ship, text_bytes, worker_state
 from .components import connected
 
 SEED = 42
@@ -126,6 +126,33 @@ def permute(fp: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def unpermute(p: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+    out, left = np.zeros_like(p), 64
+    for at, n in runs:
+        left -= n
+        out |= (p >> np.uint64(left) & np.uint64((1 << n) - 1)) << np.uint64(64 - at - n)
+    return out
+
+
+def first_met(fp: np.ndarray, kind: int, masks: list):
+    """A test of pairs of members of an upper node: whether no earlier kind of upper node holds both.
+
+    A pair meets under each kind whose fixed bits it shares; only the first returns it.
+    """
+    fixed = [unpermute(np.array([(1 << 64) - (1 << 64 - n)], np.uint64), runs)[0] for runs, n in masks[:kind]]
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        left, x = np.arange(len(a)), fp[a] ^ fp[b]
+        for m in fixed:
+            keep = x & m != 0
+            left, x = left[keep], x[keep]
+        out = np.zeros(len(a), bool)
+        out[left] = True
+        return out
+
+    return test
+
+
 def index_rows(reps: DataFrame, masks: list = MASKS) -> DataFrame:
     """kind, head, gray, rep: a distinct fingerprint under each of its upper nodes."""
 
@@ -280,12 +307,24 @@ def possible(sketches: np.ndarray, size: np.ndarray, least: float):
     return test
 
 
+def both(first, second):
+    """A test of pairs that two tests keep; the second sees only what the first has kept."""
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = first(a, b)
+        at = np.flatnonzero(out)
+        out[at] = second(a[at], b[at])
+        return out
+
+    return test
+
+
 def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS, whole: bool = False, twins: bool = False, most: int = 0, least: float = 0.0) -> DataFrame:
     """a, b: spanning forests of the links below each upper node. Tasks hold whole upper nodes, a block at a time.
 
-    With ``whole``, links between members of a different ``part`` instead: all, or with ``most`` only those nearest to
-    either member in each upper node. Rows then have part, sketch and size too, and pairs whose sketches rule out a
-    similarity of ``least`` are dropped.
+    With ``whole``, links between members of a different ``part`` instead, each once: all, or with ``most`` only those
+    nearest to either member in each upper node. Rows then have part, sketch and size too, and pairs whose sketches rule
+    out a similarity of ``least`` are dropped.
     """
     names = ["kind", "head", "gray", "rep"] + ["part", "sketch", "size"] * whole
 
@@ -297,7 +336,7 @@ def index_links(rows: DataFrame, max_diff: int = MAX_DIFF, masks: list = MASKS,
                 free = 64 - masks[k][1]
                 group = np.cumsum(np.concatenate([[0], head[own][1:] != head[own][:-1]]))
                 pairs: list | None = [] if whole else None
-                may = possible(sketch[own], size[own], least) if whole else None
+                may = both(first_met(unpermute(p[own], masks[k][0]), k, masks), possible(sketch[own], size[own], least)) if whole else None
                 root = linked(group, p[own] & np.uint64((1 << free) - 1), free, max_diff, part[own] if whole else None, pairs, twins, most, may)
                 if whole:
                     for a, b in pairs:
@@ -376,10 +415,28 @@ def checked(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.filter(pa.array([jaccard(u, v, shingle) >= least for u, v in zip(x, y)], pa.bool_())).select(["a", "b"])
 
+    links = materialize(links, "pairs")
+    keys = links.select(F.col("a").alias("text_key")).union(links.select(F.col("b").alias("text_key")))
+    texts = marked(texts, keys, F.col("key"), "_met").filter("_met")  # others need not be shuffled
     a, b = (texts.select(F.col("key").alias(k), F.col("data").alias(f"text_{k}")) for k in "ab")
     return links.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def likely(links: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
+    """The links a, b that the sketches of both (rep, sketch, size) do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("sketch_a", "sketch_b"))
+                test = possible(np.concatenate([one, two]), np.concatenate([np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b"))]), least)
+                at = np.arange(batch.num_rows)
+                yield batch.filter(pa.array(test(at, at + batch.num_rows))).select(["a", "b"])
+
+    a, b = (outlines.select(F.col("rep").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    return links.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
 def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int = NEAR_MARK, max_diff: int = NEAR_DIFF, least: float = NEAR_JACCARD) -> DataFrame:
     """doc_id, key (of the text), fp, component_id (the component's smallest doc_id), stays (whether the row may stand for it).
 
@@ -387,7 +444,8 @@ def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int =
     shingles) differ by at most ``max_diff`` bits, and those met at the ends of a chain of such. Each distinct text is
     a node. The index's spanning forests are checked first, then each text's nearest few candidates in other
     components, then more of them, and at last every candidate between what is still apart: none is missed, and a large
-    group, once it is one component, yields no more pairs.
+    group, once it is one component, yields no more pairs. A candidate is left over by a round only where both its texts
+    have brought as many as the round takes, so the next round holds only such texts.
     """
     masks = wide_masks(max_diff)
 
@@ -412,15 +470,22 @@ def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int =
     outline = map_rows(texts.select("key", "data"), outlines, "rep long, sketch binary, size long")
     some = materialize(some.join(outline, "rep"), "members")
     index = materialize(index_rows(some, masks), "index")
-    links = materialize(checked(candidates, texts, shingle, least), "links")
+    links = materialize(checked(likely(candidates, some, least), texts, shingle, least), "links")
     found = connected(links).withColumnRenamed("rep", "key")
     for most in NEAREST:
         part = some.select("rep", "sketch", "size").join(found.withColumnRenamed("key", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"), "sketch", "size")
-        more = index_links(index.join(part, "rep"), max_diff, masks, whole=True, twins=True, most=most, least=least).distinct().join(candidates, ["a", "b"], "left_anti")
-        more = materialize(more, "candidates")
-        links = materialize(links.union(checked(more, texts, shingle, least)), "links")
-        candidates = candidates.union(more)
-        found = connected(links).withColumnRenamed("rep", "key")
+        met = materialize(index_links(index.join(part, "rep"), max_diff, masks, whole=True, twins=True, most=most, least=least), "met")
+        more = materialize(checked(met.join(candidates, ["a", "b"], "left_anti"), texts, shingle, least), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = connected(links).withColumnRenamed("rep", "key")
+        if not most:
+            break
+        brought = met.select(F.col("a").alias("rep")).union(met.select(F.col("b").alias("rep"))).groupBy("rep").count().filter(F.col("count") >= most)
+        some = materialize(some.join(brought.select("rep"), "rep", "left_semi"), "members")
+        if some.isEmpty():
+            break
+        index, candidates = index_rows(some, masks), candidates.union(met)
     node = materialize(reps.join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("node")), "nodes")
     first = F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("first")  # a null doc_id comes last
     of = node.join(node.groupBy("node").agg(first), "node").select("key", F.col("first.least").alias("component_id"), (F.col("key") == F.col("first.key")).alias("_own"))
@@ -431,12 +496,16 @@ def similar_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, mark: int =
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """One row of each similarity component: of its smallest doc_id, of one text and row where that repeats.
 
-    Only what goes is joined back, by doc_id and text; rows that are alike in both are numbered.
+    Only what goes is joined back, by doc_id and text, with the rows that a bitmap of those texts marks; rows that are
+    alike in both are numbered.
     """
     found = materialize(similar_components(docs).groupBy("doc_id", "key", "stays").agg(F.count("*").alias("n")), "found")
-    given, key = docs.alias("_given"), F.xxhash64(text_bytes())
+    key = F.xxhash64(text_bytes())
     match = F.col("_given.doc_id").eqNullSafe(F.col("_found.doc_id")) & (key == F.col("_found.key"))
-    out = given.join(found.filter("NOT stays").alias("_found"), match, "left_anti")
+    gone, name = found.filter("NOT stays"), f"_hit_{uuid.uuid4().hex}"
+    every = marked(docs, gone.select(F.col("key").alias("text_key")), key, name)
+    out = every.filter(name).alias("_given").join(gone.alias("_found"), match, "left_anti")
+    out = every.filter(~F.col(name)).unionByName(out).select(*docs.columns)
     again = found.filter("stays AND n > 1")
     if again.isEmpty():
         return out

@@ -15,7 +15,7 @@ import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sublode.llm import bpe, components, decontam, lm, pii, quality, simhash, substrings, toxicity, warc, wavelet  # noqa: E402
+from sublode.llm import bpe, common, components, decontam, lm, pii, quality, simhash, substrings, toxicity, warc, wavelet  # noqa: E402
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -133,6 +133,31 @@ def test_similar_texts_beyond_two_bits(spark):
     assert {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()} == set(got)
 
 
+def test_pairs_of_different_parts_come_once(spark):
+    """Every pair within the limit, under one upper node only; and with texts of many like ones nothing is lost."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = [(base[k % 6] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for k in range(240)]
+    masks = simhash.wide_masks(9)
+    reps = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, rep long")
+    rows = simhash.index_rows(reps, masks).selectExpr("*", "rep AS part", f"unhex('{'ff' * (simhash.SKETCH // 8)}') AS sketch", "600L AS size")
+    got = [(min(r), max(r)) for r in simhash.index_links(rows, 9, masks, whole=True, twins=True, least=0.8).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for j in range(240) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 9}
+
+
+def test_marks_of_changed_texts(spark):
+    """A bitmap marks every text that it was made from, and few others."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    keys = docs.filter("doc_id % 50 = 0 OR doc_id = 3").select(F.col("h").alias("text_key"))
+    keys = keys.unionByName(spark.createDataFrame([(0,), (-1,), (1 << 62,), (common.MARKED,)], "text_key long"))
+    got = common.marked(docs.unionByName(keys.selectExpr("-1L AS doc_id", "text_key AS h")), keys, F.col("h"), "_x").collect()
+    assert all(r["_x"] for r in got if r["doc_id"] == -1 or r["doc_id"] % 50 == 0 or r["doc_id"] == 3) and len(got) == 20_405
+    assert sum(r["_x"] for r in got) < 2 * 405 + 60
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(260, 259), (5, 5)]
     got = {r["rep"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
