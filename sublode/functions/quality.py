@@ -148,6 +148,8 @@ class StandardQFNumeric(Quality):
     def __init__(self, a: float, invert: bool = False, estimator: str = "default", centroid: str = "mean"):
         if not isinstance(a, (int, float)):
             raise ValueError("a must be a number")
+        if isinstance(invert, str):  # a, estimator, centroid by position
+            invert, estimator, centroid = False, invert, centroid if estimator == "default" else estimator
         if centroid not in ("mean", "median", "sorted_median"):
             raise ValueError("centroid is mean, median or sorted_median")
         estimator = {"default": "sum" if centroid == "mean" else "max", "average": "max"}.get(estimator, estimator)
@@ -291,7 +293,9 @@ class EMM_Likelihood(Quality):
 class CombinedInterestingnessMeasure(Quality):
     """The weighted sum of qualities that score the same sums of a subgroup; its bound is that of its parts."""
 
-    def __init__(self, measures: list[Quality], weights: list[float] | None = None):
+    def __init__(self, measures: list[Quality] | None = None, weights: list[float] | None = None):
+        if measures is None:
+            raise NotImplementedError("give the measures to combine")
         self.measures, self.weights = list(measures), [1.0] * len(measures) if weights is None else [float(w) for w in weights]
         if not self.measures or len(self.weights) != len(self.measures):
             raise ValueError("give a weight for each of one or more measures")
