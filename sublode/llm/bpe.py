@@ -21,19 +21,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
 from .common import map_rows, ship, text_bytes, worker_state
 
-#: Limits of a worker's tables: transitions, neighbour checks, pieces.
+#: Limits of a worker's tables: transitions, neighbour checks, pieces of each of two generations, bytes of a piece that is kept.
 MAX_TRANSITIONS = 500_000
 MAX_PAIRS = 500_000
 MAX_PIECES = 300_000
+KEPT_PIECE = 64
+#: A third of these for the pipeline's last stage, which shares its executors with heaps that four stages have grown.
+SMALL = 3
 #: Bits of a token in a transition's number, and bytes after which certain tokens of a long piece are emitted.
 TOKEN_BITS = 20
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 STREAM = 4096
+#: Pieces of a text between two looks at the cache's size.
+SLICE = 20_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,6 +58,17 @@ def merge(data: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[byte
     return parts
 
 
+def pack_state(live: list[tuple[int, int]]) -> bytes:
+    """A state's hypotheses, token before and place in the trie, as 32-bit numbers: a tenth of the memory of tuples."""
+    return array("i", chain.from_iterable(live)).tobytes()
+
+
+def live_of(state: bytes):
+    """The hypotheses of a packed state."""
+    flat = iter(memoryview(state).cast("i"))
+    return zip(flat, flat)
+
+
 class Transducer:
     """The lazily determinised transducer of one rank table."""
 
@@ -78,7 +95,7 @@ class Transducer:
         self._empty()
 
     def _empty(self) -> None:
-        start = ((-1, 0),)
+        start = pack_state([(-1, 0)])
         self.states, self.number, self.moves = [start], {start: 0}, {}
 
     def split(self, token: int) -> tuple[int, int]:
@@ -125,7 +142,7 @@ class Transducer:
             else:
                 before, b = b + 1, self.split(b)[0]
 
-    def _state(self, live: tuple) -> int:
+    def _state(self, live: bytes) -> int:
         k = self.number.get(live)
         if k is None:
             k = self.number[live] = len(self.states)
@@ -135,7 +152,7 @@ class Transducer:
     def _move(self, state: int, byte: int) -> int:
         """The state after a byte, and the last token of the prefix in the low bits."""
         now, whole, child = [], -1, self.child
-        for left, node in self.states[state]:
+        for left, node in live_of(self.states[state]):
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
@@ -147,7 +164,7 @@ class Transducer:
         if whole < 0:
             raise ValueError(f"no token for byte {byte}")
         now.append((whole, 0))
-        found = self.moves[state << 8 | byte] = self._state(tuple(now)) << TOKEN_BITS | whole
+        found = self.moves[state << 8 | byte] = self._state(pack_state(now)) << TOKEN_BITS | whole
         return found
 
     def _back(self, last: list[int], end: int) -> list[int]:
@@ -162,7 +179,7 @@ class Transducer:
 
     def _certain(self, state: int, last: list[int]) -> int:
         """The latest place that every live start leads back to."""
-        heads = {len(last) - self.depth[node] for _, node in self.states[state]}
+        heads = {len(last) - self.depth[node] for _, node in live_of(self.states[state])}
         while len(heads) > 1:
             m = max(heads)
             heads.remove(m)
@@ -197,23 +214,33 @@ class Transducer:
 class Encoder:
     """Splits texts by a pattern and encodes the pieces; ids are packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, part: int = 1):
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(load_ranks(path), MAX_TRANSITIONS // part, MAX_PAIRS // part)
+        self.max_pieces = MAX_PIECES // part
         self.cache = _Pieces(self.machine, {})
 
     def encode(self, text: str) -> bytes:
-        """The packed ids of a text; frequent pieces move from the older to the younger generation of the cache."""
-        if len(self.cache) >= MAX_PIECES:
-            self.cache.old = {}
-            self.cache = _Pieces(self.machine, self.cache)
-        return b"".join(map(self.cache.__getitem__, self.split(text)))
+        """The packed ids of a text; frequent pieces move from the older to the younger generation of the cache.
+
+        The cache is looked at between slices of a text's pieces: a text may have any number of new ones.
+        """
+        pieces, out = self.split(text), []
+        for i in range(0, len(pieces), SLICE):
+            if len(self.cache) >= self.max_pieces:
+                self.cache.old = {}
+                self.cache = _Pieces(self.machine, self.cache)
+            out.append(b"".join(map(self.cache.__getitem__, pieces[i : i + SLICE])))
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 class _Pieces(dict):
-    """The packed ids of pieces; a missing one comes from the older generation or from the transducer."""
+    """The packed ids of pieces; a missing one comes from the older generation or from the transducer.
+
+    Long pieces are encoded each time: their ids would take memory without a bound.
+    """
 
     def __init__(self, machine: Transducer, old: dict):
         super().__init__()
@@ -222,7 +249,10 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            got = array("I", self.machine.encode(piece.encode())).tobytes()
+            data = piece.encode()
+            got = array("I", self.machine.encode(data)).tobytes()
+            if len(data) > KEPT_PIECE:
+                return got
         self[piece] = got
         return got
 
@@ -267,9 +297,9 @@ def decode(ids: bytes, bytes_of, chunk: int = 1 << 14):
     yield stream.close()
 
 
-def worker_encoder(path: str, pattern: str) -> Encoder:
-    """The encoder that a Python worker keeps between its tasks."""
-    return worker_state("bpe", (path, pattern), lambda: Encoder(path, pattern))
+def worker_encoder(path: str, pattern: str, part: int = 1) -> Encoder:
+    """The encoder that a Python worker keeps between its tasks; its tables' limits are divided by ``part``."""
+    return worker_state("bpe", (path, pattern, part), lambda: Encoder(path, pattern, part))
 
 
 def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -288,7 +318,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed) of every document, and the SHA-256 of the text decoded from them."""
 
     def rows(c: dict) -> dict:
-        e, n, all_ids, b = worker_encoder(path, pattern), [], [], []
+        e, n, all_ids, b = worker_encoder(path, pattern, SMALL), [], [], []
         for data in c["data"]:
             ids, text = e.encode(data.decode("utf-8", "replace")), hashlib.sha256()
             for part in decode(ids, e.machine.bytes_of):

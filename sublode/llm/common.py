@@ -53,7 +53,7 @@ def worker_state(name: str | None, key=None, make: Callable | None = None):
     """
     if name not in _kept:
         _kept.clear()
-        pa.default_memory_pool().release_unused()
+        free_memory()
     if name is None:
         return None
     own = _kept.setdefault(name, {})
@@ -62,6 +62,19 @@ def worker_state(name: str | None, key=None, make: Callable | None = None):
     return own[key]
 
 
+def free_memory() -> None:
+    """Give freed memory back to the system: an executor's limit counts what its idle Python workers hold."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 _own: dict = {}
 
 

@@ -238,6 +238,23 @@ def test_transducer_with_small_tables():
     assert machine.encode(b"") == [] and machine.encode(b"a" * 5000) == model.encode_ordinary("a" * 5000)
 
 
+def test_encoder_tables_are_bounded(monkeypatch):
+    """The piece cache keeps its limit inside one text, long pieces are not kept, and a state is a packed string."""
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "MAX_PIECES", 600)
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    encoder = bpe.Encoder(BPE, public_tokenizers.PATTERN, 3)
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.machine.ranks, special_tokens={})
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choice("abcdeé漢") for _ in range(6)) for _ in range(3000)) + " " + "xy" * 3000
+    assert encoder.encode(text) == np.array(model.encode_ordinary(text), "<u4").tobytes()
+    assert len(encoder.cache) < 250 and len(encoder.cache.old) < 250 and max(map(len, [*encoder.cache, *encoder.cache.old])) <= 64
+    assert (encoder.machine.max_transitions, encoder.machine.max_pairs) == (bpe.MAX_TRANSITIONS // 3, bpe.MAX_PAIRS // 3)
+    assert all(type(x) is bytes for x in encoder.machine.states)
+
+
 def test_utf8_stream():
     rnd, data = random.Random(6), "añ中😀\u0000é".encode() * 5 + b"\xff\xe4\xb8" + b"ok\xf0\x9f"
     for _ in range(50):
