@@ -170,7 +170,7 @@ class AttentionModel:
         qkv = (x @ both).reshape(*shape, 3 * WIDTH)
         q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
         a = q @ k.transpose(0, 2, 1)
-        a += _MASK
+        a += _MASK.astype(a.dtype)
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a /= (a.reshape(-1, shape[1]) @ np.ones(shape[1], a.dtype)).reshape(*shape, 1)
@@ -361,10 +361,13 @@ def near_places(counts: np.ndarray) -> np.ndarray:
     return place
 
 
-def _beside(place: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    cells = 2 * (NEAR + 1)
-    n = size * cells
-    return (np.bincount(b * cells + place[a], minlength=n) + np.bincount(a * cells + NEAR + 1 + place[b], minlength=n)).reshape(size, cells)
+def _beside(place: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Adds the neighbours of pairs to a table; one side's counts at a time, so that one half of a table more is held."""
+    cells = NEAR + 1
+    sums = np.zeros((size, 2 * cells), np.int64) if sums is None else sums
+    sums[:, :cells] += np.bincount(b * cells + place[a], minlength=size * cells).reshape(size, cells)
+    sums[:, cells:] += np.bincount(a * cells + place[b], minlength=size * cells).reshape(size, cells)
+    return sums
 
 
 def ids_of(batches, room: int = 1_000_000):
@@ -387,12 +390,13 @@ def neighbours(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
 
     def run(batches):
         worker_state(None)
-        sums = np.zeros(size * 2 * (NEAR + 1), np.int64)
+        sums = np.zeros((size, 2 * (NEAR + 1)), np.int64)
         for flat, lengths in ids_of(batches):
             same = np.ones(len(flat), bool)
             same[np.cumsum(lengths)[:-1]] = False
             same = np.flatnonzero(same[1:])
-            sums += _beside(place, flat[same], flat[same + 1], size).ravel()
+            _beside(place, flat[same], flat[same + 1], size, sums)
+        sums = sums.ravel()
         at = np.flatnonzero(sums)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(sums[at[i : i + 100_000]])], ["cell", "n"])
@@ -418,7 +422,7 @@ def train(model: AttentionModel, ids: DataFrame) -> int:
         hold_memory()
         own = copy.copy(shared.value)
         own.p = {k: x.astype(np.float32) for k, x in own.p.items()}
-        done = own.learn(ids_of(batches), TaskContext.get().partitionId())
+        done = own.learn(ids_of(batches, 250_000), TaskContext.get().partitionId())
         if done:
             flat = weights(own) - weights(shared.value)
             whole = np.append(np.rint(flat * (done / UNIT)).astype(np.int64), done)

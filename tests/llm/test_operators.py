@@ -446,6 +446,22 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     assert total(trained) > total(start) + 100 and total(same) > total(start) + 100
 
 
+def test_lm_neighbours_in_bounded_memory():
+    """Adding a batch's neighbours takes less than two tables of the table's own size, and gives the same counts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    counts, a, b = rng.integers(0, 90, lm.IDS), rng.integers(0, lm.IDS, 5000), rng.integers(0, lm.IDS, 5000)
+    place, want = lm.near_places(counts), np.zeros((lm.IDS, 2 * (lm.NEAR + 1)), np.int64)
+    np.add.at(want, (b, place[a]), 1)
+    np.add.at(want, (a, lm.NEAR + 1 + place[b]), 1)
+    tracemalloc.start()
+    got = lm._beside(place, a, b, lm.IDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 2 * got.nbytes
+
+
 def test_quality(docs, texts, empty):
     got = by_id(quality.quality(docs, min_docs=5, share=0.0))
     for i, t in enumerate(texts):
